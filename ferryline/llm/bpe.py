@@ -3,7 +3,7 @@
 Lookup has two tiers.  The distinct pre-tokens of a batch are first resolved together by a minimal perfect hash over the
 vocabulary (hash and displace: one displacement for each bucket, exactly as many slots as tokens, the stored bytes are
 compared).  What misses is merged with a heap over a doubly linked list of byte ranges, lowest rank first, leftmost first.
-Both tiers fill a memo from pre-token to packed ids that a worker keeps between tasks, emptied when it is full.
+Both tiers fill a memo of bounded size, from pre-token to packed ids, that a worker keeps between tasks.
 
 Defined cases: a null text encodes as the empty text (no ids, ``decoded`` is empty bytes); special-token strings are
 ordinary text; very long texts are encoded whole; repeated rows give repeated results; an empty table gives an empty
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
 
 
 class PerfectHash:
@@ -86,7 +86,7 @@ class Codec:
         for k, i in self.ranks.items():
             self.bytes_of[i] = k
         self.pretokens = regex.compile(pattern).findall
-        self.memo: dict[str, bytes] = {}
+        self.memo = common.Memo(MEMO_ENTRIES)
 
     def merge(self, w: bytes) -> list[int]:
         """Ids of one pre-token by repeated merging of its lowest-ranked neighbours."""
@@ -113,31 +113,24 @@ class Codec:
             i = end[i]
         return out
 
-    def learn(self, fresh: list[str]) -> None:
+    def learn(self, distinct: set[str]) -> None:
         """Put the packed ids of pre-tokens into the memo."""
-        if len(self.memo) + len(fresh) > MEMO_ENTRIES:
-            self.memo.clear()
-        words = [common.utf8(x) for x in fresh]
+        fresh = self.memo.unknown(distinct)
+        words, known = [common.utf8(x) for x in fresh], self.memo.young
         for text, w, k in zip(fresh, words, self.perfect.find(words).tolist()):
             if k >= 0 and self.tokens[k] == w:
-                self.memo[text] = int(self.ids[k]).to_bytes(4, "little")
+                known[text] = int(self.ids[k]).to_bytes(4, "little")
             else:
-                self.memo[text] = np.array(self.merge(w), "<u4").tobytes()
+                known[text] = np.array(self.merge(w), "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        found = self.pretokens(text)
+        found = self.pretokens(text or "")
         out = []
-        for start in range(0, len(found), MEMO_ENTRIES // 2):  # so that a text with very many pre-tokens fits the memo
-            part = found[start : start + MEMO_ENTRIES // 2]
-            if fresh := set(part).difference(self.memo):
-                before = len(self.memo)
-                self.learn(list(fresh))
-                if len(self.memo) < before + len(fresh):  # emptied: what the text shares with it is gone too
-                    self.learn([x for x in set(part) if x not in self.memo])
-            out.append(b"".join(map(self.memo.__getitem__, part)))
+        for start in range(0, len(found), self.memo.size):
+            part = found[start : start + self.memo.size]
+            self.learn(set(part))
+            out.append(b"".join(map(self.memo.young.__getitem__, part)))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:

@@ -82,3 +82,22 @@ def mix64(h: np.ndarray) -> np.ndarray:
 def crc_mod(id_col, modulus: int):
     """crc32 of the identifier as text, modulo ``modulus``: how rows are dealt to folds."""
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(modulus))
+
+
+class Memo:
+    """What a worker remembers of words: two generations, of which the older is dropped when the younger is full."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def unknown(self, distinct: set) -> list:
+        """Words to be put into ``young`` by the caller, who then finds all of ``distinct`` there."""
+        if len(self.young) + len(distinct) > self.size:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for w in distinct.difference(young):
+            if (v := old.get(w)) is None:
+                out.append(w)
+            else:
+                young[w] = v
+        return out

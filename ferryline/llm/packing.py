@@ -14,6 +14,7 @@ identifier keeps it null.  Results depend on the order of rows in the partitions
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -23,14 +24,19 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
 FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+#: Words that the pattern of such tokenizers cuts into one run of letters and at most one run of signs.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]*)").fullmatch
+
+
 class WordTokenizer:
     """A tokenizer file behind a memo of white-space separated words.
 
-    Right for tokenizers that drop white space and never look across it; words are cut at ASCII white space only.
+    Right for tokenizers that drop white space and never look across it; words are cut at ASCII white space only.  Plain
+    words are tokenised many at a time as one line and told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -39,21 +45,59 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], "<u4").tobytes()
-        self.memo: dict[bytes, bytes] = {}
-
-    def ids(self, text: str | None) -> bytes:
-        words = common.utf8(text).split()
-        out = []
-        for start in range(0, len(words), MEMO_ENTRIES // 2):
-            part = words[start : start + MEMO_ENTRIES // 2]
-            distinct = set(part)
-            if len(self.memo) + len(distinct) > MEMO_ENTRIES:
-                self.memo.clear()
-            if fresh := list(distinct.difference(self.memo)):
-                coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-                self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(fresh, coded))
-            out.append(b"".join(map(self.memo.__getitem__, part)))
-        return b"".join(out) + self.end
+        self.memo = common.Memo(MEMO_ENTRIES)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = bool(suffix) and token.endswith(suffix)
+
+    def learn(self, words: list[bytes]) -> None:
+        single, plain, ends, apart = [], [], [], bool(self.closes.any())
+        for w in words:
+            m = PLAIN(text := w.decode("utf-8", "replace"))
+            if m and apart:
+                plain.append((w, text))
+                ends.append(2 if m[1] else 1)
+            else:
+                single.append((w, text))
+        lines = [" ".join(t for _, t in plain[start : start + 1024]) for start in range(0, len(plain), 1024)]
+        for start, line in zip(range(0, len(plain), 1024), self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            part, ids = plain[start : start + 1024], np.array(line.ids, "<u4")
+            closing = np.flatnonzero(self.closes[ids]) + 1
+            last = np.cumsum(ends[start : start + 1024]) - 1
+            if len(closing) != last[-1] + 1:
+                single += part
+                continue
+            packed, stops = ids.tobytes(), (4 * closing[last]).tolist()
+            for (w, _), a, b in zip(part, [0, *stops], stops):
+                self.memo.young[w] = packed[a:b]
+        coded = self.tokenizer.encode_batch_fast([t for _, t in single], add_special_tokens=False)
+        for (w, _), e in zip(single, coded):
+            self.memo.young[w] = np.array(e.ids, "<u4").tobytes()
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text, its end included."""
+        out, waiting, n = [], [], 0
+        for text in [*texts, None]:
+            words = common.utf8(text).split()
+            if waiting and (len(out) + len(waiting) == len(texts) or n + len(words) > self.memo.size):
+                if fresh := self.memo.unknown(set().union(*waiting)):
+                    self.learn(fresh)
+                known = self.memo.young.__getitem__
+                out += [b"".join(map(known, w)) + self.end for w in waiting]
+                waiting, n = [], 0
+            if len(words) > self.memo.size:
+                pieces = [self._piece(words[i : i + self.memo.size]) for i in range(0, len(words), self.memo.size)]
+                out.append(b"".join(pieces) + self.end)
+                continue
+            waiting.append(words)
+            n += len(words)
+        return out
+
+    def _piece(self, words: list[bytes]) -> bytes:
+        if fresh := self.memo.unknown(set(words)):
+            self.learn(fresh)
+        return b"".join(map(self.memo.young.__getitem__, words))
 
 
 class Window:
@@ -176,10 +220,10 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, capacity: int
                 sequence += 1
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    emit(packer.take(doc, tokenizer.ids(text)))
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                for doc, ids in zip(part.column(0).to_pylist(), tokenizer.ids(part.column(1).to_pylist())):
+                    emit(packer.take(doc, ids))
                     if len(rows) >= 4096:
                         yield table()
         emit(packer.close())

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, packing
+from . import bpe, langid, packing, simhash
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op3_langid": langid.op3_langid,
+    "op4_simhash": simhash.op4_simhash,
     "op8_packing": packing.op8_packing,
 }
 SQL: dict[str, str] = {}

@@ -89,4 +89,20 @@ def test_words_tokenise_as_whole_texts():
     t = Tokenizer.from_file(PATH)
     w = packing.WordTokenizer(PATH, 2)
     for x in ["It's a  test\n\tof 'll we'll", "Áb ́c", "x\x1cy \x85 z w", "<|endoftext|>a <|startoftext|>", "ΑΣ ΟΔΟΣ. İI", "a b " * 50]:
-        assert np.frombuffer(w.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids + [2], x
+        assert np.frombuffer(w.ids([x])[0], "<u4").tolist() == t.encode(x, add_special_tokens=False).ids + [2], x
+
+
+def test_plain_words_are_told_apart():
+    t = Tokenizer.from_file(PATH)
+    w = packing.WordTokenizer(PATH, 2)
+    words = [f"{a}{b}{c}" for a in ("the", "Straße", "ÀÉî", "zqxj") for b in ("", "ing", "ñandú") for c in ("", ".", "...", ",;", "!?")]
+    assert np.frombuffer(w.ids([" ".join(words)])[0], "<u4").tolist() == t.encode(" ".join(words), add_special_tokens=False).ids + [2]
+    assert w.closes.sum() > 1000
+
+
+def test_long_texts_between_short_ones():
+    t, w = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH, 2)
+    w.memo = packing.common.Memo(40)
+    texts = ["a b c", " ".join(f"x{i}" for i in range(130)), None, "", "a b", " ".join(f"y{i}" for i in range(39)), "z"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in w.ids(texts)] == [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
+    assert w.ids([]) == []
