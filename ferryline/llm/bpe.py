@@ -155,6 +155,7 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, *, id_col: str
     common.ship(docs.sparkSession)
 
     def run(batches):
+        common.rare_gc()
         c = codec(rank_file, pattern)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):

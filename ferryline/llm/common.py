@@ -7,6 +7,7 @@ follows the bytes of text: a block holds about ``BLOCK_BYTES`` at every input si
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -84,6 +85,11 @@ def crc_mod(id_col, modulus: int):
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(modulus))
 
 
+def rare_gc() -> None:
+    """Collect cycles seldom in a worker that makes millions of small, acyclic objects."""
+    gc.set_threshold(500_000, 20, 50)
+
+
 class Memo:
     """What a worker remembers of words: two generations, of which the older is dropped when the younger is full."""
 

@@ -29,13 +29,15 @@ FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 
 #: Words that the pattern of such tokenizers cuts into one run of letters and at most one run of signs.
-PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]*)").fullmatch
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+#: A sign between a letter and white space is a run of its own; parted from its word, it makes fewer different words.
+CLOSING = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])").sub
 
 
 class WordTokenizer:
     """A tokenizer file behind a memo of white-space separated words.
 
-    Right for tokenizers that drop white space and never look across it; words are cut at ASCII white space only.  Plain
+    Right for tokenizers that fold case, drop white space and never look across it; words are cut at ASCII white space only.  Plain
     words are tokenised many at a time as one line and told apart by the tokens that end a word.
     """
 
@@ -50,36 +52,49 @@ class WordTokenizer:
         self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.closes[i] = bool(suffix) and token.endswith(suffix)
+        self.bare = self._bare(path) if suffix else None
+
+    def _bare(self, path: str):
+        """The same model for lower-case words parted by blanks, without the normaliser; None unless it agrees on a probe."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        bare = Tokenizer.from_file(path)
+        bare.normalizer = None
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        letters = "".join(c for c in map(chr, range(65, 256)) if PLAIN(c))
+        probe = [letters[i : i + n] for n in (1, 2, 5) for i in range(len(letters))]
+        whole, parted = " ".join(f"{w} {w}., {w}!" for w in probe), " ".join(f"{w} {w} ., {w} !" for w in probe).lower()
+        same = self.tokenizer.encode(whole, add_special_tokens=False).ids == bare.encode(parted, add_special_tokens=False).ids
+        return bare if same else None
 
     def learn(self, words: list[bytes]) -> None:
-        single, plain, ends, apart = [], [], [], bool(self.closes.any())
+        single, plain, parts = [], [], []
         for w in words:
-            m = PLAIN(text := w.decode("utf-8", "replace"))
-            if m and apart:
-                plain.append((w, text))
-                ends.append(2 if m[1] else 1)
+            if self.bare and (m := PLAIN(text := w.decode("utf-8", "replace"))):
+                plain.append(w)
+                parts.append(m.groups())
             else:
-                single.append((w, text))
-        lines = [" ".join(t for _, t in plain[start : start + 1024]) for start in range(0, len(plain), 1024)]
-        for start, line in zip(range(0, len(plain), 1024), self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+                single.append(w)
+        lines = [" ".join(f"{a} {b}" for a, b in parts[start : start + 1024]).lower() for start in range(0, len(plain), 1024)]
+        known = self.memo.young
+        for start, line in zip(range(0, len(plain), 1024), self.bare.encode_batch_fast(lines, add_special_tokens=False) if lines else []):
             part, ids = plain[start : start + 1024], np.array(line.ids, "<u4")
             closing = np.flatnonzero(self.closes[ids]) + 1
-            last = np.cumsum(ends[start : start + 1024]) - 1
+            last = np.cumsum([2 if b else 1 for _, b in parts[start : start + 1024]]) - 1
             if len(closing) != last[-1] + 1:
                 single += part
                 continue
             packed, stops = ids.tobytes(), (4 * closing[last]).tolist()
-            for (w, _), a, b in zip(part, [0, *stops], stops):
-                self.memo.young[w] = packed[a:b]
-        coded = self.tokenizer.encode_batch_fast([t for _, t in single], add_special_tokens=False)
-        for (w, _), e in zip(single, coded):
-            self.memo.young[w] = np.array(e.ids, "<u4").tobytes()
+            known.update(zip(part, [packed[a:b] for a, b in zip([0, *stops], stops)]))
+        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in single], add_special_tokens=False)
+        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(single, coded))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text, its end included."""
         out, waiting, n = [], [], 0
         for text in [*texts, None]:
-            words = common.utf8(text).split()
+            raw = common.utf8(text)
+            words = CLOSING(rb" \1", raw if b"<|" in raw else raw.lower()).split()  # special tokens are told by case
             if waiting and (len(out) + len(waiting) == len(texts) or n + len(words) > self.memo.size):
                 if fresh := self.memo.unknown(set().union(*waiting)):
                     self.learn(fresh)
@@ -201,6 +216,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, capacity: int
         if (tokenizer_path, end_id) not in _TOKENIZERS:
             _TOKENIZERS[tokenizer_path, end_id] = WordTokenizer(tokenizer_path, end_id)
         tokenizer = _TOKENIZERS[tokenizer_path, end_id]
+        common.rare_gc()
         packer, sequence, rows = SumOfSquares(capacity, max_open), TaskContext.get().partitionId() << 40, []
 
         def table():
