@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, simhash
+from . import ann, bpe, langid, packing, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_langid": langid.op3_langid,
     "op4_simhash": simhash.op4_simhash,
+    "op5_topk": topk.op5_topk,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_ann": ann.op7_ann,
     "op8_packing": packing.op8_packing,
+    "op10_secrets": secrets.op10_secrets,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_topk": topk.OP5_SQL}
