@@ -154,8 +154,8 @@ def links(nodes: DataFrame, *, max_bits: int = 4, chunk: int = CHUNK) -> DataFra
         raise ValueError("three segments with one blank find at most 4 differing bits")
     common.ship(nodes.sparkSession)
     index = variants(nodes)
-    counted = index.groupBy("key").count().filter("count > 1").select("key", F.expr(f"cast((count + {chunk - 1}) div {chunk} as int)").alias("m"))
-    met = index.join(counted, "key")
+    crowded = index.groupBy("key").count().filter(F.col("count") > chunk).select("key", F.expr(f"cast((count + {chunk - 1}) div {chunk} as int)").alias("m"))
+    met = index.join(crowded, "key", "left").select("key", "fp", F.coalesce("m", F.lit(1)).alias("m"))
     c = F.pmod(F.xxhash64("fp"), F.col("m"))
     other = F.explode(F.when(F.col("m") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("m") - F.lit(1).cast("long"))))
     dealt = met.withColumn("c", c).withColumn("other", other).select("key", (F.least("c", "other") * F.lit(1 << 24) + F.greatest("c", "other")).alias("pair"), "fp")
