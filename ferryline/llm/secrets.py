@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
-VALUE = r"[A-Za-z0-9+/_.=-]+$"
+ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{16,}"
 WEAK_ID = "AKIA[A-Z0-9]{8,13}(?![A-Z0-9])"
@@ -47,7 +46,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sco
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = F.concat(
-        spans(text, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, VALUE, 0)) >= 12),
+        spans(text, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= 12),
         spans(text, ACCESS, 1, lambda m: F.length(m) >= 18),
         spans(text, HEX, 2),
     )

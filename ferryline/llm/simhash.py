@@ -83,7 +83,7 @@ class Forest:
 
 
 def near(a: np.ndarray, b, max_bits: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= max_bits
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= max_bits  # of signed integers it would count the magnitude's bits
 
 
 def link_large(fps: np.ndarray, forest: Forest, max_bits: int) -> list[tuple[int, int]]:
