@@ -1,0 +1,149 @@
+"""Catalog analytics on inline metadata: scope, keys, schema differences, foreign-key graph, prechecks, versions."""
+
+from __future__ import annotations
+
+COLUMNS = "SELECT * FROM (VALUES ('shop','users','id',1,'int','NO',NULL,'PRI'),('shop','users','prefs',2,'json','YES',NULL,''),('shop','users','born',3,'date','YES','0000-00-00',''),('shop','users','made',4,'timestamp','NO','2024-00-15 00:00:00',''),('shop','orders','id',1,'int','NO',NULL,'PRI'),('shop','orders','total',2,'decimal','NO','0.00',''),('shop','orders','at',3,'datetime','NO',NULL,''),('shop','orders','seen',4,'timestamp','YES','2024-01-01 00:00:00',''),('shop','Log','msg',1,'text','YES',NULL,''),('shop','Log','score',2,'double','YES',NULL,''),('shop','Log','ratio',3,'real','YES',NULL,''),('crm','log','msg',1,'varchar','YES',NULL,''),('mysql','user','host',1,'char','NO',NULL,'PRI')) AS t(db, tbl, col, ord, typ, nullable, dflt, ckey)"
+INDEXES = "SELECT * FROM (VALUES ('shop','users','PRIMARY',0,1,'id'),('shop','users','u_born',0,1,'born'),('shop','orders','a_two',0,1,'total'),('shop','orders','a_two',0,2,'at'),('shop','orders','PRIMARY',0,1,'id'),('shop','Log','i_msg',1,1,'msg')) AS t(db, tbl, idx, non_unique, seq, col)"
+INDEXES_DEST = "SELECT * FROM (VALUES ('shop','users','PRIMARY',0,1,'id'),('shop','orders','a_two',0,1,'at'),('shop','orders','a_two',0,2,'total'),('shop','orders','PRIMARY',0,1,'id'),('shop','Log','i_new',1,1,'msg')) AS t(db, tbl, idx, non_unique, seq, col)"
+COLUMNS_DEST = "SELECT * FROM (VALUES ('shop','users','id','bigint','NO'),('shop','users','prefs','json','YES'),('shop','orders','id','int','NO'),('shop','orders','total','decimal','NO'),('shop','orders','extra','int','YES')) AS t(db, tbl, col, typ, nullable)"
+FKS = "SELECT * FROM (VALUES ('orders','f1','user_id','users'),('items','f2','order_id','orders'),('items','f3','product_id','products'),('products','f4','category_id','categories'),('categories','f5','parent_id','categories'),('a','f6','b_id','b'),('b','f7','c_id','c'),('c','f8','a_id','a'),('d','f9','a_id','a'),('users','f10','x_id','outside')) AS t(child, fk, col, parent)"
+OBJECTS_S = "SELECT * FROM (VALUES ('shop','table','users','CREATE TABLE x (a INT) AUTO_INCREMENT=7;'),('shop','view','v1','CREATE DEFINER=root VIEW v1 AS SELECT 1'),('shop','procedure','p1','CREATE PROCEDURE p1() BEGIN END'),('shop','trigger','t1','CREATE  TRIGGER   t1')) AS t(db, typ, name, sql_text)"
+OBJECTS_D = "SELECT * FROM (VALUES ('shop','table','users','CREATE TABLE x (a INT) AUTO_INCREMENT=19'),('shop','view','v1','CREATE DEFINER=app VIEW v1 AS SELECT 2'),('shop','event','e1','CREATE EVENT e1'),('shop','trigger','t1','create trigger t1;')) AS t(db, typ, name, sql_text)"
+ACCOUNTS = "SELECT * FROM (VALUES ('root','localhost','caching_sha2_password','ALL PRIVILEGES'),('app','%','mysql_native_password','SELECT'),('mysql.sys','localhost','caching_sha2_password','USAGE'),('repl','%','sha256_password','REPLICATION SLAVE'),('mariadb.sys','localhost','x','USAGE')) AS t(usr, host, plugin, grants)"
+PLUGINS = "SELECT * FROM (VALUES ('caching_sha2_password','ACTIVE'),('mysql_native_password','DISABLED')) AS t(plugin, status)"
+ENGINES_USED = "SELECT * FROM (VALUES ('shop','users','InnoDB'),('shop','Log','Aria'),('crm','log','MyISAM'),('crm','arch','FEDERATED')) AS t(db, tbl, engine)"
+ENGINES = "SELECT * FROM (VALUES ('InnoDB','DEFAULT'),('MyISAM','YES'),('FEDERATED','NO')) AS t(engine, support)"
+COLLATIONS = "SELECT * FROM (VALUES ('schema','shop','utf8mb4_0900_ai_ci'),('table','shop.users','utf8mb4_general_ci'),('column','shop.users.name','utf8mb4_uca1400_ai_ci'),('server','','uca1400_ai_ci')) AS t(scope, name, collation_name)"
+DEST_COLLATIONS = "SELECT * FROM (VALUES ('utf8mb4_general_ci'),('uca1400_ai_ci')) AS t(collation_name)"
+VERSIONS = "SELECT * FROM (VALUES ('8.4.3','8.4.5'),('8.4.3','8.0.36'),('8.0.36','8.4.0'),('10.11.6-MariaDB','11.4.2-MariaDB'),('11.4.2-MariaDB-log','10.11.6-MariaDB'),('8.4.1','11.4.2-MariaDB'),('8.0.36','10.6.5-MariaDB'),('unknown','8.4.0')) AS t(source_raw, dest_raw)"
+SETTINGS = "SELECT * FROM (VALUES ('s1','ON','ROW','FULL','STRICT_TRANS_TABLES,NO_ZERO_DATE',0,'SYSTEM','UTC'),('s2','0','STATEMENT','MINIMAL','ANSI_QUOTES',1,'+02:00','CET'),('s3','true','MIXED','FULL','STRICT_ALL_TABLES, NO_ZERO_IN_DATE',2,'SYSTEM','CET')) AS t(server, log_bin, fmt, image, sql_mode, lower_names, tz, system_tz)"
+RESERVED_D = "SELECT * FROM (VALUES ('rank'),('groups'),('order')) AS t(word)"
+RESERVED_S = "SELECT * FROM (VALUES ('order')) AS t(word)"
+NAMES = "SELECT * FROM (VALUES ('table','orders'),('table','Rank'),('column','groups'),('column','order'),('table','Orders'),('view','vOrders')) AS t(kind, name)"
+SYSTEM = "('mysql','information_schema','performance_schema','sys')"
+
+
+def stable_keys(d) -> str:
+    """First index, PRIMARY before others by name, that is unique with no nullable column."""
+    return (
+        f"WITH cols AS ({COLUMNS}), idx AS ({INDEXES}), good AS (SELECT i.db, i.tbl, i.idx, {d.joined('i.col', ',', 'i.seq')} AS key_columns FROM idx i JOIN cols c ON c.db = i.db AND c.tbl = i.tbl AND c.col = i.col "
+        "GROUP BY i.db, i.tbl, i.idx HAVING max(i.non_unique) = 0 AND sum(CASE WHEN c.nullable = 'YES' THEN 1 ELSE 0 END) = 0), "
+        "ranked AS (SELECT good.*, row_number() OVER (PARTITION BY db, tbl ORDER BY CASE WHEN idx = 'PRIMARY' THEN 0 ELSE 1 END, idx) AS r FROM good) "
+        "SELECT t.db, t.tbl, r.idx, r.key_columns FROM (SELECT DISTINCT db, tbl FROM cols) t LEFT JOIN ranked r ON r.db = t.db AND r.tbl = t.tbl AND r.r = 1"
+    )
+
+
+def diff(left: str, right: str, keys: list[str], values: list[str], noun: str) -> str:
+    on = " AND ".join(f"s.{k} = t.{k}" for k in keys)
+    both = ", ".join(f"coalesce(s.{k}, t.{k}) AS {k}" for k in keys)
+    k0 = keys[0]
+    change = " OR ".join(f"s.{v} <> t.{v}" for v in values)
+    show = ", ".join(f"s.{v} AS source_{v}, t.{v} AS dest_{v}" for v in values)
+    return f"SELECT {both}, CASE WHEN t.{k0} IS NULL THEN '{noun}_missing_in_destination' WHEN s.{k0} IS NULL THEN '{noun}_missing_in_source' ELSE '{noun}_mismatch' END AS kind, {show} FROM ({left}) s FULL OUTER JOIN ({right}) t ON {on} WHERE s.{k0} IS NULL OR t.{k0} IS NULL OR {change}"
+
+
+def index_diff(d) -> str:
+    sig = lambda t: f"SELECT db, tbl, idx, {d.joined('col', ',', 'seq')} AS columns_text FROM ({t}) i GROUP BY db, tbl, idx"
+    return diff(sig(INDEXES), sig(INDEXES_DEST), ["db", "tbl", "idx"], ["columns_text"], "index")
+
+
+def normal_sql(d, x: str) -> str:
+    """Create statements made comparable: end sign, definer, counter, white space and case go."""
+    x = d.replaced(f"trim({x})", ";$", "")
+    x = d.replaced(x, "DEFINER=[^ ]+", "DEFINER=?")
+    x = d.replaced(x, "AUTO_INCREMENT=[0-9]+", "AUTO_INCREMENT=?")
+    return f"lower({d.replaced(x, '[ ]+', ' ')})"
+
+
+def object_diff(d) -> str:
+    side = lambda t: f"SELECT db, typ, name, {normal_sql(d, 'sql_text')} AS definition FROM ({t}) o"
+    return diff(side(OBJECTS_S), side(OBJECTS_D), ["db", "typ", "name"], ["definition"], "object")
+
+
+EDGES = f"SELECT DISTINCT child, parent FROM ({FKS}) f WHERE child <> parent AND parent IN (SELECT child FROM ({FKS}) g UNION SELECT 'users' UNION SELECT 'categories')"
+
+
+def reach(d) -> str:
+    """Reachability with a bound on the path, as cycles must end: at most as many steps as there are tables."""
+    return f"WITH RECURSIVE edges AS ({EDGES}), r(a, b, n) AS (SELECT child, parent, 1 FROM edges UNION ALL SELECT r.a, e.parent, r.n + 1 FROM r JOIN edges e ON r.b = e.child WHERE r.n < 9)"
+
+
+def version(d, raw: str, n: int) -> str:
+    pattern = "([0-9]+)[.]([0-9]+)[.]([0-9]+)"
+    return f"CAST(nullif({d.group(raw, pattern, n)}, '') AS INT)"
+
+
+def versions(d) -> str:
+    cols = ", ".join(f"{version(d, side + '_raw', n)} AS {side}_{part}" for side in ("source", "dest") for n, part in ((1, "major"), (2, "minor"), (3, "patch")))
+    engine = ", ".join(f"CASE WHEN lower({s}_raw) LIKE '%mariadb%' THEN 'mariadb' ELSE 'mysql' END AS {s}_engine" for s in ("source", "dest"))
+    return f"SELECT v.*, {cols}, {engine} FROM ({VERSIONS}) v"
+
+
+def compat(d) -> str:
+    ver = lambda s: f"{s}_major * 1000000 + {s}_minor * 1000 + {s}_patch"
+    line = lambda s: f"concat({s}_engine, ' ', {d.string(f'{s}_major')}, '.', {d.string(f'{s}_minor')})"
+    return (
+        f"SELECT source_raw, dest_raw, source_engine, dest_engine, CASE WHEN source_major IS NULL OR dest_major IS NULL THEN 'unparseable' "
+        f"WHEN source_engine = dest_engine AND {ver('source')} <= {ver('dest')} THEN 'upgrade' "
+        f"WHEN source_engine = dest_engine AND {line('source')} = {line('dest')} AND {line('source')} IN ('mysql 8.4', 'mariadb 10.11', 'mariadb 11.4', 'mariadb 11.8') THEN 'same_line_downgrade' "
+        f"WHEN source_engine = dest_engine THEN 'unsupported_downgrade' "
+        f"WHEN {line('source')} IN ('mysql 8.4', 'mariadb 11.4') AND {line('dest')} IN ('mysql 8.4', 'mariadb 11.4') THEN 'cross_engine_pair' ELSE 'unsupported_cross_engine' END AS verdict FROM ({versions(d)}) x"
+    )
+
+
+def profiles(d) -> str:
+    """Downgrade gates by profile: one major, or one major with a minor at most one lower."""
+    return f"SELECT source_raw, dest_raw, source_engine = dest_engine AND source_major = dest_major AS same_major, source_engine = dest_engine AND source_major = dest_major AND abs(source_minor - dest_minor) <= 1 AS adjacent_minor FROM ({versions(d)}) x WHERE source_major IS NOT NULL AND dest_major IS NOT NULL"
+
+
+risk = lambda types: f"SELECT db, tbl, sum(CASE WHEN typ IN {types} THEN 1 ELSE 0 END) AS approximate_columns, sum(CASE WHEN typ IN ('timestamp','datetime') THEN 1 ELSE 0 END) AS temporal_columns, sum(CASE WHEN typ = 'json' THEN 1 ELSE 0 END) AS json_columns FROM ({COLUMNS}) c WHERE db NOT IN {SYSTEM} GROUP BY db, tbl"
+
+QUERIES = {
+    "scope_select": lambda d: f"SELECT DISTINCT db FROM ({COLUMNS}) c WHERE lower(trim(db)) NOT IN {SYSTEM} AND lower(trim(db)) NOT IN ('crm')",
+    "column_listing": lambda d: f"SELECT db, tbl, {d.joined('col', ',', 'ord')} AS columns_text FROM ({COLUMNS}) c GROUP BY db, tbl",
+    "stable_key": stable_keys,
+    "keyless_tables": lambda d: f"SELECT db, tbl, 'stable_key_required_table' AS code, 'error' AS severity FROM ({stable_keys(d)}) k WHERE key_columns IS NULL",
+    "representation_risk": lambda d: f"SELECT * FROM ({risk("('float','double')")}) r WHERE approximate_columns + temporal_columns + json_columns > 0",
+    "verify_noise_risk": lambda d: f"SELECT * FROM ({risk("('float','double','real')")}) r WHERE approximate_columns + temporal_columns + json_columns > 0",
+    "column_diff": lambda d: diff(f"SELECT db, tbl, col, concat_ws(' ', typ, nullable) AS signature FROM ({COLUMNS}) c WHERE db = 'shop' AND tbl IN ('users','orders')", f"SELECT db, tbl, col, concat_ws(' ', typ, nullable) AS signature FROM ({COLUMNS_DEST}) c", ["db", "tbl", "col"], ["signature"], "column"),
+    "index_diff": index_diff,
+    "fk_diff": lambda d: diff(f"SELECT child, fk, parent FROM ({FKS}) f", f"SELECT child, fk, CASE WHEN fk = 'f2' THEN 'users' ELSE parent END AS parent FROM ({FKS}) f WHERE fk <> 'f3'", ["child", "fk"], ["parent"], "fk"),
+    "partition_diff": lambda d: diff("SELECT * FROM (VALUES ('log','p0','RANGE','100'),('log','p1','RANGE','200')) AS t(tbl, part, method, description)", "SELECT * FROM (VALUES ('log','p0','RANGE','100'),('log','p1','RANGE','MAXVALUE'),('log','p2','RANGE','300')) AS t(tbl, part, method, description)", ["tbl", "part"], ["description"], "partition"),
+    "schema_object_diff": object_diff,
+    "fk_edges": lambda d: EDGES,
+    "fk_cycles": lambda d: f"{reach(d)}, c AS (SELECT DISTINCT x.a AS node, x.b AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a) SELECT node, {d.joined('other', ',', 'other')} AS members FROM c GROUP BY node",
+    "fk_cycle_downstream": lambda d: f"{reach(d)} SELECT DISTINCT r.a AS node FROM r JOIN (SELECT DISTINCT a FROM r WHERE a = b) c ON r.b = c.a",
+    "fk_levels": lambda d: f"{reach(d)} SELECT a AS node, max(n) AS level FROM r WHERE a NOT IN (SELECT x.a FROM r x JOIN (SELECT DISTINCT a FROM r WHERE a = b) c ON x.b = c.a) GROUP BY a",
+    "compat_matrix": lambda d: versions(d),
+    "compat_findings": compat,
+    "compat_profiles": profiles,
+    "zero_date_defaults": lambda d: f"SELECT db, tbl, col, 'zero_date_default_column' AS code, concat('ALTER TABLE `', db, '`.`', tbl, '` ALTER COLUMN `', col, '` SET DEFAULT ''1970-01-01', CASE WHEN typ = 'date' THEN '' ELSE ' 00:00:01' END, ''';') AS proposal FROM ({COLUMNS}) c WHERE typ IN ('date','datetime','timestamp') AND ({d.like("coalesce(dflt, '')", '^0000-|^[0-9]{4}-00|^[0-9]{4}-[0-9]{2}-00')})",
+    "strict_zero_date": lambda d: f"SELECT server, upper(sql_mode) LIKE '%STRICT_%' AND upper(sql_mode) LIKE '%NO_ZERO_%' AS strict_zero FROM ({SETTINGS}) s",
+    "auth_plugin_gap": lambda d: f"SELECT a.usr, a.host, a.plugin, 'unsupported_auth_plugin_account' AS code, 'warn' AS severity FROM ({ACCOUNTS}) a LEFT JOIN (SELECT plugin FROM ({PLUGINS}) q WHERE status = 'ACTIVE') p ON a.plugin = p.plugin WHERE p.plugin IS NULL",
+    "engine_gap": lambda d: f"SELECT u.db, u.tbl, u.engine, coalesce(e.support, 'MISSING') AS support FROM ({ENGINES_USED}) u LEFT JOIN ({ENGINES}) e ON lower(u.engine) = lower(e.engine) WHERE coalesce(e.support, 'MISSING') NOT IN ('YES','DEFAULT')",
+    "invisible_features": lambda d: "SELECT tbl, col, CASE WHEN ckey = 'PRI' AND upper(extra) LIKE '%AUTO_INCREMENT%' THEN 'generated_invisible_primary_key' ELSE 'invisible_column' END AS feature FROM (VALUES ('t','my_row_id','PRI','auto_increment INVISIBLE'),('t','secret','','INVISIBLE'),('t','shown','',NULL)) AS c(tbl, col, ckey, extra) WHERE upper(coalesce(extra, '')) LIKE '%INVISIBLE%'",
+    "collation_gap": lambda d: f"SELECT c.scope, c.name, c.collation_name FROM ({COLLATIONS}) c LEFT JOIN (SELECT collation_name FROM ({DEST_COLLATIONS}) x UNION SELECT concat('utf8mb4_', collation_name) FROM ({DEST_COLLATIONS}) y WHERE collation_name LIKE 'uca1400%') k ON c.collation_name = k.collation_name WHERE k.collation_name IS NULL",
+    "collation_client_risk": lambda d: f"SELECT scope, name, collation_name FROM ({COLLATIONS}) c WHERE lower(collation_name) LIKE '%uca1400%'",
+    "schema_features": lambda d: f"SELECT db, tbl, col, 'cross_engine_json_column' AS code FROM ({COLUMNS}) c WHERE typ = 'json'",
+    "reserved_identifiers": lambda d: f"SELECT n.kind, n.name, s.word IS NULL AS destination_only FROM ({NAMES}) n JOIN ({RESERVED_D}) r ON lower(n.name) = r.word LEFT JOIN ({RESERVED_S}) s ON lower(n.name) = s.word",
+    "case_collisions": lambda d: f"SELECT lower(name) AS folded, {d.joined('name', ',', 'name')} AS names, count(*) AS n FROM ({NAMES}) n GROUP BY lower(name) HAVING count(*) > 1",
+    "mixed_case": lambda d: f"SELECT kind, name FROM ({NAMES}) n WHERE {d.like('name', '[A-Z]')} AND {d.like('name', '[a-z]')}",
+    "lower_case_mismatch": lambda d: f"SELECT a.server AS source, b.server AS dest FROM ({SETTINGS}) a JOIN ({SETTINGS}) b ON a.server < b.server AND a.lower_names <> b.lower_names",
+    "replication_readiness": lambda d: f"SELECT server, CASE WHEN upper(log_bin) NOT IN ('1','ON','TRUE','YES') THEN 'source_log_bin_disabled' WHEN upper(fmt) <> 'ROW' THEN 'non_row_binlog_format' WHEN upper(image) <> 'FULL' THEN 'non_full_row_image' ELSE 'inventory_clean' END AS code FROM ({SETTINGS}) s",
+    "timezone_effective": lambda d: f"SELECT server, CASE WHEN upper(tz) = 'SYSTEM' THEN system_tz ELSE tz END AS zone FROM ({SETTINGS}) s",
+    "timezone_mix": lambda d: f"SELECT db, tbl, sum(CASE WHEN typ = 'timestamp' THEN 1 ELSE 0 END) AS timestamps, sum(CASE WHEN typ = 'datetime' THEN 1 ELSE 0 END) AS datetimes FROM ({COLUMNS}) c GROUP BY db, tbl HAVING sum(CASE WHEN typ = 'timestamp' THEN 1 ELSE 0 END) > 0",
+    "manual_evidence": lambda d: "SELECT * FROM (VALUES ('backup_restore_rehearsal_required','warn'),('metadata_lock_runbook_required','warn'),('replication_transaction_shape_rehearsal_required','warn'),('dump_tool_skew_review_required','warn')) AS t(code, severity)",
+    "privilege_any": lambda d: f"SELECT usr, grants LIKE '%ALL PRIVILEGES%' OR grants LIKE '%REPLICATION SLAVE%' AS may_stream FROM ({ACCOUNTS}) a",
+    "users_scope": lambda d: f"SELECT usr, host, CASE WHEN usr IN ('mysql.sys','mysql.session','mysql.infoschema','mariadb.sys') THEN 'system' WHEN usr = 'root' THEN 'administrative' ELSE 'user_managed' END AS class FROM ({ACCOUNTS}) a",
+    "users_grants": lambda d: f"SELECT concat('GRANT ', grants, ' TO ''', usr, '''@''', host, '''') AS statement FROM ({ACCOUNTS}) a WHERE grants NOT LIKE 'USAGE%' AND usr <> 'root'",
+    "identifier_quote": lambda d: "SELECT name, concat('`', replace(name, '`', '``'), '`') AS quoted FROM (VALUES ('a'),('we`ird'),('')) AS t(name)",
+    "sandbox_name": lambda d: f"SELECT name, {d.replaced("lower(name)", '[^a-z0-9_]', '_')} AS safe FROM (VALUES ('My-App 1'),('ok_2')) AS t(name)",
+    "routing_conflict": lambda d: "SELECT tbl, count(DISTINCT mode) AS owners FROM (VALUES ('a','log'),('a','trigger'),('b','log')) AS t(tbl, mode) GROUP BY tbl HAVING count(DISTINCT mode) > 1",
+    "routing_owner": lambda d: "SELECT tbl, min(mode) AS mode FROM (VALUES ('a','log'),('b','trigger'),('c','log')) AS t(tbl, mode) GROUP BY tbl",
+    "failure_classify": lambda d: "SELECT c, CASE WHEN c = 1062 THEN 'conflict_duplicate_key' WHEN c IN (1451,1452) THEN 'foreign_key' WHEN c IN (1054,1136,1146,1051) THEN 'schema_drift' WHEN c IN (1044,1045,1142) THEN 'permission' WHEN c IN (1366,1406,1265) THEN 'conversion' WHEN c IN (1213,1205) THEN 'retryable' ELSE 'unknown' END AS class FROM (VALUES (1062),(1451),(1146),(1045),(1406),(1205),(1)) AS t(c)",
+    "sample_redact": lambda d: f"SELECT v, {d.replaced('v', '^([^=:]+)([=:]).*$', 'x')} AS redacted FROM (VALUES ('a=1'),('created_at=2024-01-02 03:04:05'),('k:old->new')) AS t(v)",
+    "report_status": lambda d: "SELECT CASE WHEN count(*) = 0 THEN 'empty' WHEN max(bad) = 1 THEN 'attention_required' ELSE 'ok' END AS status, count(*) AS artifacts FROM (VALUES ('checkpoint',0),('conflict',1)) AS t(name, bad)",
+    "log_position_order": lambda d: f"SELECT a.f AS first_file, b.f AS second_file, CAST({d.group('a.f', '([0-9]+)$', 1)} AS INT) < CAST({d.group('b.f', '([0-9]+)$', 1)} AS INT) AS before FROM (VALUES ('bin.000009'),('bin.000010'),('bin.9')) AS a(f) JOIN (VALUES ('bin.000010'),('bin.000009')) AS b(f) ON a.f <> b.f",
+    "gtid_membership": lambda d: "SELECT g.n FROM (VALUES (1),(5),(9),(12)) AS g(n) JOIN (VALUES (1,5),(10,20)) AS i(lo, hi) ON g.n BETWEEN i.lo AND i.hi",
+    "log_ddl_classify": lambda d: "SELECT q, CASE WHEN upper(q) LIKE 'CREATE TABLE%' OR upper(q) LIKE 'ALTER TABLE%ADD%' THEN 'safe' WHEN upper(q) LIKE 'DROP%' OR upper(q) LIKE 'TRUNCATE%' OR upper(q) LIKE 'RENAME%' OR upper(q) LIKE 'ALTER%' THEN 'risky' ELSE 'not_ddl' END AS class FROM (VALUES ('create table a (i int)'),('DROP TABLE a'),('ALTER TABLE a ADD b INT'),('ALTER TABLE a DROP b'),('INSERT INTO a VALUES (1)')) AS t(q)",
+}

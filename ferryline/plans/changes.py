@@ -1,0 +1,64 @@
+"""An ordered change log: transactions, gates, shape, and its application to keyed rows; chunked copies.
+
+``events`` is read as a log: event_id is the position, user_id the row key, purchase closes a transaction.  Positions are
+numbered in ranges of ``RANGE`` (two levels: totals of ranges, then within a range), so no window spans the whole table.
+"""
+
+from __future__ import annotations
+
+RANGE = 4096
+
+
+def log(d) -> str:
+    return f"SELECT event_id AS pos, {d.div('event_id', str(RANGE))} AS rng, {d.epoch('ts')} AS at_s, user_id AS k, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'view' THEN 'update' WHEN 'click' THEN 'update' WHEN 'error' THEN 'delete' ELSE 'commit' END AS op, CAST(round(value * 100) AS BIGINT) AS v FROM {d.table('events')}"
+
+
+def numbered(d) -> str:
+    """(pos, at_s, k, op, v, txn): boundaries before a row, by totals of earlier ranges plus a window inside its range."""
+    return (
+        f"lg AS ({log(d)}), tot AS (SELECT rng, sum(CASE WHEN op = 'commit' THEN 1 ELSE 0 END) AS n FROM lg GROUP BY rng), "
+        "off AS (SELECT rng, coalesce(sum(n) OVER (ORDER BY rng ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM tot), "
+        "num AS (SELECT lg.*, CAST(o.base + coalesce(sum(CASE WHEN op = 'commit' THEN 1 ELSE 0 END) OVER (PARTITION BY lg.rng ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS txn FROM lg JOIN off o ON lg.rng = o.rng), "
+        "tx AS (SELECT txn, sum(CASE WHEN op <> 'commit' THEN 1 ELSE 0 END) AS n, max(pos) AS end_pos, max(at_s) AS end_at, max(CASE WHEN op = 'commit' THEN 1 ELSE 0 END) AS closed FROM num GROUP BY txn)"
+    )
+
+
+def w(d) -> str:
+    return f"WITH {numbered(d)}"
+
+
+def folded(d, policy: str) -> str:
+    """Final state of each key under a policy; updates and deletes of absent keys are passed over.
+
+    A key's state hangs on its last insert, update and delete alone: it exists if an insert follows its last delete.
+    """
+    keep = "i.first_pos" if policy == "dest" else "i.last_pos"
+    return (
+        f"{w(d)}, ops AS (SELECT n.* FROM num n JOIN tx t ON n.txn = t.txn WHERE t.closed = 1 AND op <> 'commit'), "
+        "dels AS (SELECT k, max(pos) AS dpos FROM ops WHERE op = 'delete' GROUP BY k), "
+        "i AS (SELECT o.k, min(o.pos) AS first_pos, max(o.pos) AS last_pos FROM ops o LEFT JOIN dels e ON o.k = e.k WHERE o.op = 'insert' AND o.pos > coalesce(e.dpos, -1) GROUP BY o.k), "
+        f"u AS (SELECT o.k, max(o.pos) AS upos FROM ops o JOIN i ON o.k = i.k WHERE o.op = 'update' AND o.pos > i.first_pos GROUP BY o.k) "
+        f"SELECT i.k, o.v, o.pos FROM i LEFT JOIN u ON i.k = u.k JOIN ops o ON o.pos = greatest({keep}, coalesce(u.upos, -1))"
+    )
+
+
+QUERIES = {
+    "log_transactions": lambda d: f"{w(d)} SELECT txn, CAST(n AS BIGINT) AS n, end_pos FROM tx WHERE closed = 1 AND n > 0",
+    "log_incomplete": lambda d: f"{w(d)} SELECT txn, CAST(n AS BIGINT) AS n FROM tx WHERE closed = 0",
+    "log_max_events": lambda d: f"{w(d)}, c AS (SELECT txn, n, sum(n) OVER (ORDER BY txn) AS total FROM tx WHERE closed = 1 AND n > 0) SELECT count(*) AS transactions, CAST(coalesce(sum(n), 0) AS BIGINT) AS events FROM c WHERE total <= 1000",
+    "log_lag_gate": lambda d: f"{w(d)}, e AS (SELECT max(at_s) AS now FROM lg) SELECT min(t.txn) AS first_breach FROM tx t CROSS JOIN e WHERE t.closed = 1 AND t.n > 0 AND greatest(0, e.now - t.end_at) > 3600",
+    "log_shape": lambda d: f"{w(d)} SELECT count(*) AS transactions, CAST(max(n) AS BIGINT) AS largest, CAST({d.div('sum(n)', 'count(*)')} AS BIGINT) AS average FROM tx WHERE closed = 1 AND n > 0",
+    "log_buffer_gate": lambda d: f"{w(d)}, c AS (SELECT rng, count(*) AS n, min(pos) AS first_pos FROM lg GROUP BY rng), s AS (SELECT rng, first_pos, sum(n) OVER (ORDER BY rng) AS total FROM c) SELECT min(first_pos) AS first_range_beyond FROM s WHERE total > 5000",
+    "apply_source_wins": lambda d: folded(d, "source"),
+    "apply_dest_wins": lambda d: folded(d, "dest"),
+    "apply_fail_first_conflict": lambda d: f"{w(d)}, o AS (SELECT n.*, lag(op) OVER (PARTITION BY k ORDER BY pos) AS prev FROM num n WHERE op <> 'commit'), c AS (SELECT txn, pos, CASE WHEN op = 'insert' THEN 'conflict_duplicate_key' ELSE 'conflict_zero_rows' END AS kind FROM o WHERE (op = 'insert' AND prev IN ('insert','update')) OR (op <> 'insert' AND (prev IS NULL OR prev = 'delete'))) SELECT min(txn) AS first_conflict_txn, min(pos) AS first_conflict_pos FROM c",
+    "cdc_page": lambda d: f"SELECT event_id, event_type FROM {d.table('events')} WHERE event_id > 500 ORDER BY event_id LIMIT 1000",
+    "cdc_checkpoint": lambda d: f"SELECT event_type, max(event_id) AS last_id, count(*) AS n FROM {d.table('events')} GROUP BY event_type",
+    "keyset_page": lambda d: f"SELECT conv_id, turn, role FROM {d.table('conversations')} WHERE conv_id >= 10 AND (conv_id > 10 OR turn > 1) ORDER BY conv_id, turn LIMIT 100",
+    "keyset_resume": lambda d: f"SELECT count(*) AS rows_left, min(o_orderkey) AS next_key FROM {d.table('orders')} WHERE o_orderkey > 1000",
+    "chunk_ledger": lambda d: f"SELECT {d.div('o_orderkey', '1000')} AS chunk, count(*) AS row_count, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM {d.table('orders')} GROUP BY {d.div('o_orderkey', '1000')}",
+    "resume_cursor": lambda d: f"SELECT max(o_orderkey) AS cursor_key FROM {d.table('orders')} WHERE o_orderkey % 97 <> 0",
+    "dest_empty": lambda d: f"SELECT NOT EXISTS (SELECT 1 FROM {d.table('orders')} WHERE o_orderkey < 0) AS is_empty",
+    "source_watermark": lambda d: f"SELECT max(event_id) AS pos, max({d.epoch('ts')}) AS at_s FROM {d.table('events')}",
+    "orphans": lambda d: f"SELECT o.o_orderkey FROM {d.table('orders')} o LEFT JOIN {d.table('customer')} c ON o.o_custkey = c.c_custkey AND c.c_custkey % 50 <> 0 WHERE c.c_custkey IS NULL",
+}

@@ -1,0 +1,81 @@
+"""One declarative text for each query, rendered for Spark and for an independent engine that checks it."""
+
+from __future__ import annotations
+
+
+class Spark:
+    def __init__(self, sf_dir: str):
+        self.sf_dir = sf_dir
+
+    def table(self, name: str) -> str:
+        return f"parquet.`{self.sf_dir}/{name}.parquet`"
+
+    def sha(self, x: str) -> str:
+        return f"sha2({x}, 256)"
+
+    def joined(self, x: str, sep: str, order: str) -> str:
+        return f"listagg({x}, '{sep}') WITHIN GROUP (ORDER BY {order})"
+
+    def string(self, x: str) -> str:
+        return f"CAST({x} AS STRING)"
+
+    def stamp(self, x: str) -> str:
+        return f"date_format({x}, 'yyyy-MM-dd HH:mm:ss')"
+
+    def epoch(self, x: str) -> str:
+        return f"unix_timestamp(CAST({x} AS TIMESTAMP))"
+
+    def group(self, x: str, pattern: str, n: int) -> str:
+        return f"regexp_extract({x}, r'{pattern}', {n})"
+
+    def replaced(self, x: str, pattern: str, by: str) -> str:
+        return f"regexp_replace({x}, r'{pattern}', '{by}')"
+
+    def like(self, x: str, pattern: str) -> str:
+        return f"({x} RLIKE r'{pattern}')"
+
+    def div(self, a: str, b: str) -> str:
+        return f"({a} DIV {b})"
+
+    def same(self, a: str, b: str) -> str:
+        return f"({a} <=> {b})"
+
+    recursive = "WITH RECURSIVE"
+
+
+class Duck(Spark):
+    def __init__(self):
+        pass
+
+    def table(self, name):
+        return name
+
+    def sha(self, x):
+        return f"sha256({x})"
+
+    def joined(self, x, sep, order):
+        return f"string_agg({x}, '{sep}' ORDER BY {order})"
+
+    def string(self, x):
+        return f"CAST({x} AS VARCHAR)"
+
+    def stamp(self, x):
+        return f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
+
+    def epoch(self, x):
+        return f"CAST(epoch({x}) AS BIGINT)"
+
+    def group(self, x, pattern, n):
+        return f"regexp_extract({x}, '{pattern}', {n})"
+
+    def replaced(self, x, pattern, by):
+        return f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+
+    def like(self, x, pattern):
+        return f"regexp_matches({x}, '{pattern}')"
+
+    def div(self, a, b):
+        return f"({a} // {b})"
+
+    def same(self, a, b):
+        return f"({a} IS NOT DISTINCT FROM {b})"

@@ -1,0 +1,86 @@
+"""Reconciliation of two sides of a table: counts, ordered content digests, samples, and row by row (VER, AGG, JN-1..2)."""
+
+from __future__ import annotations
+
+#: table -> (key, columns); the second side of each is derived by the fixed rule of ``sides``.
+TABLES = {
+    "region": ("r_regionkey", ["r_name"]),
+    "nation": ("n_nationkey", ["n_name", "n_regionkey"]),
+    "customer": ("c_custkey", ["c_name", "c_nationkey", "c_acctbal:money", "c_mktsegment"]),
+    "supplier": ("s_suppkey", ["s_name", "s_nationkey", "s_acctbal:money"]),
+    "part": ("p_partkey", ["p_name", "p_brand", "p_type", "p_size", "p_retailprice:money"]),
+    "orders": ("o_orderkey", ["o_custkey", "o_orderstatus", "o_totalprice:money", "o_orderdate:time", "o_orderpriority"]),
+}
+
+
+def canonical(d, column: str) -> str:
+    """A tagged text for a value: nulls first, then money at a fixed scale, times, everything else as text."""
+    name, _, kind = column.partition(":")
+    if kind == "money":
+        shown, tag = d.string(f"CAST(round({name} * 100) AS BIGINT)"), "dec"
+    elif kind == "time":
+        shown, tag = d.stamp(name), "time"
+    else:
+        shown, tag = d.string(name), "val"
+    return f"coalesce(concat('{tag}:', {shown}), 'null:')"
+
+
+def sides(d, table: str) -> str:
+    """CTEs src and dst of (k, digest): dst lacks some keys, has changed and nulled values and some keys of its own."""
+    key, columns = TABLES[table]
+    first, *rest = columns
+    def row(changed):
+        parts = [canonical(d, key + ":")] + [changed(canonical(d, c)) if c == first else canonical(d, c) for c in columns]
+        return d.sha("concat(" + ", '|', ".join(f"replace({p}, '|', '||')" for p in parts) + ")")
+    dst_first = lambda c: f"CASE WHEN {key} % 83 = 0 THEN 'null:' WHEN {key} % 89 = 1 THEN concat({c}, '~') ELSE {c} END"
+    t = d.table(table)
+    return (
+        f"src AS (SELECT CAST({key} AS BIGINT) AS k, {row(lambda c: c)} AS digest FROM {t}), "
+        f"dst AS (SELECT CAST({key} AS BIGINT) AS k, {row(dst_first)} AS digest FROM {t} WHERE {key} % 97 <> 3 "
+        f"UNION ALL SELECT CAST({key} AS BIGINT) + 10000000 AS k, {row(lambda c: c)} AS digest FROM {t} WHERE {key} % 101 = 0)"
+    )
+
+
+def table_digest(d, side: str, chunk: int, where: str = "TRUE") -> str:
+    """Two-level digest: rows in key order form chunks, chunks form the table; a chunk is all that one task holds."""
+    return (
+        f"(SELECT count(*) AS chunks, sum(n) AS row_count, {d.sha(d.joined('cd', ';', 'c'))} AS hash FROM "
+        f"(SELECT c, count(*) AS n, {d.sha(d.joined('digest', ',', 'k'))} AS cd FROM "
+        f"(SELECT k, digest, {d.div('(row_number() OVER (ORDER BY k) - 1)', str(chunk))} AS c FROM {side}) x WHERE {where} GROUP BY c) y)"
+    )
+
+
+def full_hash(d, table: str, chunk: int = 500, where: str = "TRUE") -> str:
+    return (
+        f"WITH {sides(d, table)} SELECT '{table}' AS table_name, CASE WHEN s.hash = t.hash THEN 'match' ELSE 'hash_mismatch' END AS kind, "
+        f"CAST(s.row_count AS BIGINT) AS source_count, CAST(t.row_count AS BIGINT) AS dest_count, s.hash AS source_hash, t.hash AS dest_hash, CAST(s.chunks AS BIGINT) AS source_chunks "
+        f"FROM {table_digest(d, 'src', chunk, where)} s CROSS JOIN {table_digest(d, 'dst', chunk, where)} t"  # one row on each side
+    )
+
+
+def row_reconcile(d, table: str) -> str:
+    return (
+        f"WITH {sides(d, table)} SELECT coalesce(s.k, t.k) AS k, CASE WHEN s.k IS NULL THEN 'missing_in_source' WHEN t.k IS NULL THEN 'missing_in_destination' ELSE 'content_mismatch' END AS kind "
+        f"FROM src s FULL OUTER JOIN dst t ON s.k = t.k WHERE s.k IS NULL OR t.k IS NULL OR s.digest <> t.digest"
+    )
+
+
+def counts(d) -> str:
+    src = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {d.table(t)}" for t in TABLES)
+    dst = " UNION ALL ".join(f"SELECT '{t if t != 'part' else 'parts'}' AS table_name, count(*) AS n FROM {d.table(t)} WHERE {k} % 97 <> 3" for t, (k, _) in TABLES.items())
+    return (
+        f"WITH s AS ({src}), t AS ({dst}) SELECT coalesce(s.table_name, t.table_name) AS table_name, "
+        "CASE WHEN t.n IS NULL THEN 'missing_in_destination' WHEN s.n IS NULL THEN 'missing_in_source' WHEN s.n <> t.n THEN 'row_count_mismatch' ELSE 'match' END AS kind, "
+        "s.n AS source_count, t.n AS dest_count FROM s FULL OUTER JOIN t ON s.table_name = t.table_name"
+    )
+
+
+QUERIES = {
+    "verify_count": counts,
+    "diff_summary": lambda d: f"SELECT kind, count(*) AS n FROM ({counts(d)}) c GROUP BY kind",
+    "row_reconcile": lambda d: row_reconcile(d, "orders"),
+    "row_reconcile_summary": lambda d: f"SELECT kind, count(*) AS n, min(k) AS first_key FROM ({row_reconcile(d, 'customer')}) r GROUP BY kind",
+    **{f"verify_full_hash_{t}": (lambda d, t=t: full_hash(d, t)) for t in TABLES},
+    "verify_hash": lambda d: full_hash(d, "supplier", 2000),
+    "verify_sample": lambda d: full_hash(d, "customer", 1000, "c = 0"),
+}
