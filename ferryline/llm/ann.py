@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, PROBES, GROUP_ROWS = 4096, 6, 8192
+SAMPLE, PROBES, GROUP_ROWS = 4096, 12, 8192
 
 
 def partition_graph(x: np.ndarray, parts: int, neighbours: int = 10, rounds: int = 12, seed: int = 7) -> np.ndarray:
