@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 500_000
 FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 #: Words that the pattern of such tokenizers cuts into one run of letters and at most one run of signs.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
 #: A sign between a letter and white space is a run of its own; parted from its word, it makes fewer different words.
-CLOSING = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])").sub
+CLOSING = re.compile(rb"([.,])(?<=[a-z].)(?=[ \n])").sub
 
 
 class WordTokenizer:
@@ -68,7 +68,11 @@ class WordTokenizer:
         return bare if same else None
 
     def learn(self, words: list[bytes]) -> None:
-        single, plain, parts = [], [], []
+        single, plain, parts, letters = [], [], [], []
+        if self.bare:
+            letters = [w for w in words if w.isalpha()]  # of bytes: ASCII letters alone, one run each
+            words = [w for w in words if not w.isalpha()]
+            single += self._runs(letters, [b" ".join(letters[i : i + 1024]).decode().lower() for i in range(0, len(letters), 1024)], None)
         for w in words:
             if self.bare and (m := PLAIN(text := w.decode("utf-8", "replace"))):
                 plain.append(w)
@@ -76,18 +80,23 @@ class WordTokenizer:
             else:
                 single.append(w)
         lines = [" ".join(f"{a} {b}" for a, b in parts[start : start + 1024]).lower() for start in range(0, len(plain), 1024)]
-        known = self.memo.young
-        for start, line in zip(range(0, len(plain), 1024), self.bare.encode_batch_fast(lines, add_special_tokens=False) if lines else []):
-            part, ids = plain[start : start + 1024], np.array(line.ids, "<u4")
+        single += self._runs(plain, lines, [2 if b else 1 for _, b in parts])
+        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in single], add_special_tokens=False)
+        self.memo.young.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(single, coded))
+
+    def _runs(self, words: list[bytes], lines: list[str], ends: list[int] | None) -> list[bytes]:
+        """Learn words from lines of 1024 of them, each of ``ends`` closing tokens (one without); returns what does not fit."""
+        left = []
+        for start, line in zip(range(0, len(words), 1024), self.bare.encode_batch_fast(lines, add_special_tokens=False) if lines else []):
+            part, ids = words[start : start + 1024], np.array(line.ids, "<u4")
             closing = np.flatnonzero(self.closes[ids]) + 1
-            last = np.cumsum([2 if b else 1 for _, b in parts[start : start + 1024]]) - 1
+            last = np.cumsum(ends[start : start + 1024]) - 1 if ends else np.arange(len(part))
             if len(closing) != last[-1] + 1:
-                single += part
+                left += part
                 continue
             packed, stops = ids.tobytes(), (4 * closing[last]).tolist()
-            known.update(zip(part, [packed[a:b] for a, b in zip([0, *stops], stops)]))
-        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in single], add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(single, coded))
+            self.memo.young.update(zip(part, [packed[a:b] for a, b in zip([0, *stops], stops)]))
+        return left
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text, its end included."""
