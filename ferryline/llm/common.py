@@ -50,7 +50,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: lineage ends there, executors may go."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/ferryline/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # so that the cleaner drops shuffle files nothing refers to any more
     return spark.read.schema(df.schema).parquet(path)
 
 

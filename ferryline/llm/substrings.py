@@ -16,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from . import common
 
 WINDOW, SHORT = 20, 5
 _M = np.uint64(0x9E3779B97F4A7C15)
-_WORDS = common.Memo(300_000)
+_WORDS = common.Memo(300_000)  # a worker's own
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -71,85 +72,157 @@ def stand_ins(h5: np.ndarray) -> np.ndarray:
     return np.flatnonzero(least == h5)
 
 
-def keyed(docs: DataFrame, emit, schema: str) -> DataFrame:
-    """Rows that ``emit(record batch) -> list of columns`` makes of pieces of the input."""
+def mapped(docs: DataFrame, emit, schema: str, rows: int = 4096, size: int = 32 << 20) -> DataFrame:
+    """Rows that ``emit(pieces as a table) -> list of columns`` makes of pieces of at most ``rows`` rows and about ``size`` bytes."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
+        held, n, b = [], 0, 0
+
+        def flush():
+            cols = emit(pa.Table.from_batches(held))
+            table = pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], names=names)
+            yield from table.to_batches(max_chunksize=20_000)
+
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
-                cols = emit(whole.slice(start, 256))
-                if len(cols[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) if not isinstance(c, pa.Array) else c for c in cols], names=names)
+                part = whole.slice(start, 256)
+                if held and (n + part.num_rows > rows or b + part.nbytes > size):
+                    yield from flush()
+                    held, n, b = [], 0, 0
+                held.append(part)
+                n, b = n + part.num_rows, b + part.nbytes
+        if held:
+            yield from flush()
 
     return docs.mapInArrow(run, schema)
 
 
-def repeated(keys: DataFrame) -> DataFrame:
-    """(row, at) of keys (h, row, at) whose ``h`` occurs more than once, as an array for each row."""
-    twice = keys.groupBy("h").count().filter("count > 1").select("h")
-    return keys.join(twice, "h", "left_semi").groupBy("row").agg(F.collect_list("at").alias("at"))
+def packed(text: str | None) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(common.utf8(text))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
-    """(doc_id, [keep,] n_words, n_removed, kept string): ``kept`` is the words left, joined by one blank.
+def words_of(blob: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(blob).split()
+
+
+def columns(table: pa.Table, *numbers: int):
+    return zip(*(table.column(i).to_pylist() for i in numbers))
+
 
-    ``keep`` names a long column, different in each row, that is returned too.
+def groups(batches, n_keys: int, act):
+    """Runs of equal leading ``n_keys`` columns in sorted rows, over batches: ``act(columns, starts, sizes)`` gets whole runs."""
+    kept = None
+    for batch in batches:
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        if kept is not None:
+            cols = [np.concatenate([a, b]) for a, b in zip(kept, cols)]
+        n = len(cols[0])
+        if not n:
+            continue
+        new = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:n_keys]])]
+        last = int(np.flatnonzero(new)[-1])
+        if last:
+            starts = np.flatnonzero(new[:last])
+            yield from act([c[:last] for c in cols], starts, np.diff(np.r_[starts, last]))
+        kept = [c[last:] for c in cols]
+    if kept is not None and len(kept[0]):
+        yield from act(kept, np.zeros(1, np.int64), np.array([len(kept[0])]))
+
+
+def level_five(rows: DataFrame) -> DataFrame:
+    """(row, at): the stand-ins that occur more than once, as an array for each row.
+
+    Of a hash that a piece holds several times only one row is sent, with its count; the others are settled at once.
     """
-    common.ship(docs.sparkSession)
-    rows = common.cut(docs.select((F.col(keep).cast("long") if keep else F.monotonically_increasing_id()).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
 
-    def first(batch):
-        hs, rs, ps = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-            h5, _ = levels(common.utf8(text).split())
+    def emit(t):
+        hs, rs, ps = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        for row, blob in columns(t, 0, 2):
+            h5, _ = levels(words_of(blob))
             at = stand_ins(h5)
-            hs.append(h5[at].view(np.int64))
+            hs.append(h5[at])
             rs.append(np.full(len(at), row, np.int64))
             ps.append(at.astype(np.int32))
-        return [np.concatenate(hs), np.concatenate(rs), np.concatenate(ps)]
+        h, r, p = np.concatenate(hs), np.concatenate(rs), np.concatenate(ps)
+        o = np.argsort(h, kind="stable")
+        h, r, p = h[o], r[o], p[o]
+        new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+        n = np.diff(np.r_[np.flatnonzero(new), len(h)])
+        count = np.zeros(len(h), np.int32)
+        count[new] = n  # zero: settled
+        return [h.view(np.int64), count, r, p]
+
+    sent = common.cut(mapped(rows, emit, "h long, n int, row long, at int"))
+
+    def twice(batches):
+        def act(cols, starts, sizes):
+            total = np.add.reduceat(cols[1], starts)
+            ok = np.repeat(total > 1, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[2][ok]), pa.array(cols[3][ok])], names=["row", "at"])
 
-    level5 = repeated(keyed(rows, first, "h long, row long, at int"))
+        return groups(batches, 1, act)
 
-    def second(batch):
-        out_row, out_doc, out_start, out_a, out_b = [], [], [], [], []
-        for row, doc, text, at in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            h5, h10 = levels(common.utf8(text).split())
-            flagged = np.full(len(h5), np.iinfo(np.uint64).max, np.uint64)
-            flagged[np.array(at)] = h5[np.array(at)]
+    across = sent.filter("n > 0").repartition("h").sortWithinPartitions("h").mapInArrow(twice, "row long, at int")
+    return across.union(sent.filter("n = 0").select("row", "at")).groupBy("row").agg(F.collect_list("at").alias("at"))
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """(doc_id, [keep,] n_words, n_removed, kept string): ``kept`` is the words left, joined by one blank.
+
+    ``keep`` names a long column, different in each row, that is returned too.  Texts travel compressed.
+    """
+    common.ship(docs.sparkSession)
+    number = F.col(keep).cast("long") if keep else F.monotonically_increasing_id()
+    raw = docs.select(number.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = common.cut(mapped(raw, lambda t: [t.column(0), t.column(1), pa.array(list(map(packed, t.column(2).to_pylist())), pa.binary())], "row long, doc_id long, blob binary", rows=512))
+
+    def windows_of(t):
+        out = [[np.empty(0, d)] for d in (np.int64, np.int64, np.int64, np.int64, np.int32)]
+        for row, doc, blob, at in columns(t, 0, 1, 2, 3):
+            h5, h10 = levels(words_of(blob))
+            flagged, at = np.full(len(h5), np.iinfo(np.uint64).max, np.uint64), np.array(at)
+            flagged[at] = h5[at]
             s = np.flatnonzero(sliding_min(flagged) == sliding_min(h5))
-            out_row.append(np.full(len(s), row, np.int64))
-            out_doc.append(np.full(len(s), np.iinfo(np.int64).max if doc is None else doc, np.int64))
-            out_start.append(s.astype(np.int32))
-            out_a.append(h10[s].view(np.int64))
-            out_b.append(h10[s + 10].view(np.int64))
-        return [np.concatenate(x) for x in (out_row, out_doc, out_start, out_a, out_b)]
-
-    # windows whose stand-in repeats, with the hashes of their two halves of 10 words
-    windows = keyed(rows.join(level5, "row").select("row", "doc_id", "text", "at"), second, "row long, doc_id long, start int, a long, b long")
-    # a window of 20 words repeats only if both halves do: one count over the pair decides both levels at once
-    windows = common.cut(windows)
-    place = F.struct("doc_id", "row", "start")
-    firsts = windows.groupBy("a", "b").agg(F.min(place).alias("f"), F.count("*").alias("n")).filter("n > 1").select("a", "b", "f")
-    later = windows.join(firsts, ["a", "b"]).filter((F.col("row") != F.col("f.row")) | (F.col("start") != F.col("f.start")))
-    gone = later.groupBy("row").agg(F.collect_list("start").alias("starts"))
-
-    def last(batch):
+            for o, c in zip(out, (h10[s].view(np.int64), h10[s + 10].view(np.int64), np.full(len(s), np.iinfo(np.int64).max if doc is None else doc, np.int64), np.full(len(s), row, np.int64), s.astype(np.int32))):
+                o.append(c)
+        a, b, doc, row, start = map(np.concatenate, out)
+        o = np.lexsort((start, row, doc, b, a))
+        a, b, doc, row, start = a[o], b[o], doc[o], row[o], start[o]
+        first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+        return [a, b, doc, row, start, (~first).astype(np.int32)]  # a later window of the piece is settled: it goes
+
+    windows = common.cut(mapped(rows.join(level_five(rows), "row").select("row", "doc_id", "blob", "at"), windows_of, "a long, b long, doc long, row long, start int, gone int"))
+
+    def later(batches):
+        def act(cols, starts, sizes):
+            ok = np.ones(len(cols[0]), bool)
+            ok[starts] = False
+            yield pa.RecordBatch.from_arrays([pa.array(cols[3][ok]), pa.array(cols[4][ok])], names=["row", "start"])
+
+        return groups(batches, 2, act)
+
+    sent = windows.filter("gone = 0").select("a", "b", "doc", "row", "start").repartition("a", "b").sortWithinPartitions("a", "b", "doc", "row", "start")
+    lost = sent.mapInArrow(later, "row long, start int").union(windows.filter("gone = 1").select("row", "start"))
+    gone = lost.groupBy("row").agg(F.collect_list("start").alias("starts"))
+
+    def last(t):
         n_words, n_removed, kept = [], [], []
-        for text, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            words = common.utf8(text).split()
-            change = np.zeros(len(words) + 1, np.int64)
+        for blob, starts in columns(t, 2, 3):
+            words = words_of(blob)
+            n, left = len(words), words
             if starts:
-                s = np.array(starts)
+                s, change = np.array(starts), np.zeros(n + 1, np.int64)
                 np.add.at(change, s, 1)
                 np.add.at(change, s + WINDOW, -1)
-            stay = np.cumsum(change)[:-1] == 0
-            n_words.append(len(words))
-            n_removed.append(int((~stay).sum()))
-            kept.append(b" ".join([w for w, k in zip(words, stay.tolist()) if k]).decode("utf-8", "surrogatepass") if starts else b" ".join(words).decode("utf-8", "surrogatepass"))
-        return [batch.column(1), batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
-
-    cleaned = keyed(rows.join(gone, "row", "left").select("row", "doc_id", "text", "starts"), last, "doc_id long, row long, n_words long, n_removed long, kept string")
+                stay = np.cumsum(change)[:-1] == 0
+                left = [w for w, k in zip(words, stay.tolist()) if k]
+            n_words.append(n)
+            n_removed.append(n - len(left))
+            kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
+        return [t.column(1), t.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+
+    cleaned = mapped(rows.join(gone, "row", "left").select("row", "doc_id", "blob", "starts"), last, "doc_id long, row long, n_words long, n_removed long, kept string", rows=512)
     return cleaned.withColumnRenamed("row", keep) if keep else cleaned.drop("row")
 
 

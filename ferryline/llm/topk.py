@@ -25,37 +25,37 @@ BLOCK_ROWS = 4096
 def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
     """For each query its k best (score, id) of one block, by sorted lists with bounds; integers throughout."""
     n, d = rows.shape
-    order = np.argsort(rows, axis=0, kind="stable")
-    values = np.take_along_axis(rows, order, axis=0)
+    order = np.argsort(rows, axis=0, kind="stable").astype(np.int32)
+    values = np.take_along_axis(rows, order, axis=0).astype(np.float64)  # integers below 2**53: sums stay exact
+    exact_rows, columns = rows.astype(np.float64), np.arange(d)
     for qi in range(len(queries)):
-        q = queries[qi]
+        q = queries[qi].astype(np.float64)
         down = q > 0
-        lists = np.where(down, order[::-1], order)
-        gains = np.where(down, values[::-1], values) * q
-        last = gains[-1]
-        lower, seen = np.full(n, last.sum()), np.zeros((n, d), bool)
-        read, step = 0, 64
+        last = np.where(down, values[0], values[-1]) * q
+        base = last.sum()
+        lower, seen = np.full(n, base), np.zeros((n, d))
+        other = ids != query_ids[qi]
+        m, read, step = int(other.sum()), 0, 256
         while True:
             stop = min(n, read + step)
-            part = lists[read:stop]
-            np.add.at(lower, part.ravel(), (gains[read:stop] - last).ravel())
-            seen[part, np.arange(d)] = True
+            part = np.where(down, order[n - stop : n - read][::-1], order[read:stop])
+            gain = np.where(down, values[n - stop : n - read][::-1], values[read:stop]) * q
+            lower += np.bincount(part.ravel(), (gain - last).ravel(), minlength=n)
+            seen[part, columns] = 1
             read = stop
-            other = ids != query_ids[qi]
-            m = int(other.sum())
             if read >= n or m <= k:
                 alive = np.flatnonzero(other)
                 break
             floor = np.partition(lower[other], m - k)[m - k]
-            slack = gains[read] - last
+            slack = np.where(down, values[n - 1 - read], values[read]) * q - last
             upper = lower + slack.sum() - seen @ slack
             alive = np.flatnonzero(other & (upper >= floor))
-            if len(alive) <= max(8 * k, n // 16):
+            if len(alive) <= max(8 * k, n // 8):
                 break
             step *= 2
-        exact = rows[alive] @ q
+        exact = exact_rows[alive] @ q
         top = np.lexsort((ids[alive], -exact))[:k]
-        yield qi, exact[top], ids[alive][top]
+        yield qi, exact[top].astype(np.int64), ids[alive][top]
 
 
 def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
@@ -71,17 +71,18 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     queries = rows.filter(f"id % {every} = 0").dropDuplicates(["id"]).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "id", "v", F.lit(1).alias("is_query"))
 
     def run(table: pa.Table) -> pa.Table:
-        is_query = table["is_query"].to_numpy() == 1
-        length = np.array([len(x) for x in table["v"].to_pylist()])
-        ids = table["id"].to_numpy()
+        is_query, ids = table["is_query"].to_numpy() == 1, table["id"].to_numpy()
+        lists = table["v"].combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+        length = lists.value_lengths().to_numpy()
         out = []
         for dim in sorted(set(length.tolist())):
-            same = length == dim
-            x = np.array([a for a, s in zip(table["v"].to_pylist(), same) if s], np.int64).reshape(-1, dim)
-            c, q = ~is_query[same], is_query[same]
+            at = np.flatnonzero(length == dim)
+            x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            c, q = ~is_query[at], is_query[at]
             if c.any() and q.any():
-                qid = ids[same][q]
-                out += [(int(qid[i]), int(a), int(b)) for i, s, who in best(x[q], qid, x[c], ids[same][c], k) for a, b in zip(s, who)]
+                qid = ids[at][q]
+                out += [(int(qid[i]), int(a), int(b)) for i, s, who in best(x[q], qid, x[c], ids[at][c], k) for a, b in zip(s, who)]
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "score": pa.array([o[1] for o in out], pa.int64()), "vec_id": pa.array([o[2] for o in out], pa.int64())})
 
     found = candidates.union(queries).groupBy("b", "g").applyInArrow(run, "query_id long, score long, vec_id long")
