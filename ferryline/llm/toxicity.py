@@ -14,6 +14,7 @@ labels of one identifier count as examples each; further columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,26 +30,22 @@ MAX_EXAMPLES, MAX_TERMS, K, BLOCK, PRIOR = 8192, 64, 24, 64, 1.0
 def build(examples: list[tuple[str, int]], max_terms: int = MAX_TERMS):
     """Index of labelled texts: terms with weights, block maxima, postings as a matrix of block by term by example."""
     n, y = len(examples), np.array([t for _, t in examples], np.int64)
-    counts: dict[str, np.ndarray] = {}
-    bags = []
+    having = (Counter(), Counter())  # texts that hold a word, by label; no text's words are kept
     for text, label in examples:
-        words = WORD(text.lower())
-        bag: dict[str, int] = {}
-        for w in words:
-            bag[w] = bag.get(w, 0) + 1
-        bags.append(bag)
-        for w in bag:
-            counts.setdefault(w, np.zeros(2, np.int64))[label] += 1
+        having[label].update(set(WORD(text.lower())))
     pos, neg = max(int(y.sum()), 1), max(n - int(y.sum()), 1)
-    gain = {w: (c[1] / pos - c[0] / neg) ** 2 / ((c[0] + c[1]) / n) for w, c in counts.items() if c.sum() >= max(3, n // 500) and c[1] / pos > c[0] / neg}
+    gain = {}
+    for w, p in having[1].items():
+        m = having[0][w]
+        if p + m >= max(3, n // 500) and p / pos > m / neg:
+            gain[w] = (p / pos - m / neg) ** 2 / ((p + m) / n)
     terms = sorted(gain, key=lambda w: (-gain[w], w))[:max_terms]
     number = {w: i for i, w in enumerate(terms)}
-    idf = np.array([np.log((n + 1) / (counts[w].sum() + 1)) + 1 for w in terms])
+    idf = np.array([np.log((n + 1) / (having[0][w] + having[1][w] + 1)) + 1 for w in terms])
     x = np.zeros((n, len(terms)))
-    for i, bag in enumerate(bags):
-        for w, c in bag.items():
-            if w in number:
-                x[i, number[w]] = (1 + np.log(c)) * idf[number[w]]
+    for i, (text, _) in enumerate(examples):
+        for w, c in Counter(w for w in WORD(text.lower()) if w in number).items():
+            x[i, number[w]] = (1 + np.log(c)) * idf[number[w]]
     norm = np.sqrt((x * x).sum(1))
     x[norm > 0] /= norm[norm > 0, None]
     order = np.lexsort((np.arange(n), x.argmax(1) if len(terms) else np.zeros(n), norm == 0))
