@@ -12,8 +12,12 @@ are read whole; repeated rows are scored each; null identifiers learn and score
 
 from __future__ import annotations
 
+import math
+import pickle
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +30,6 @@ def line(text: str | None) -> bytes:
     return b" ".join(common.utf8(text).lower().split()) + bytes([END])
 
 
-def contexts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(key, count): the DEPTH preceding bytes and the byte itself packed, nearest byte highest; distinct."""
-    x = np.frombuffer(bytes([END]) * DEPTH + text, np.uint8).astype(np.int64)
-    key = np.zeros(len(text), np.int64)
-    for d in range(DEPTH):
-        key = key << 8 | x[DEPTH - 1 - d : len(x) - 1 - d]
-    return np.unique(key << 8 | x[DEPTH:], return_counts=True)
-
-
 def log_kt(zero, one):
     """Natural logarithm of the KT block probability, by Stirling's series for the gamma function."""
     def lg(z):
@@ -93,44 +88,111 @@ def predictive(stack: list[DataFrame], asked: DataFrame) -> DataFrame:
     return out.select("ctx", "node", (F.col("p1") + F.col("left") * F.col("near")).alias("p1"))
 
 
-def score(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); ``train`` is a condition on ``docs``."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    rows = common.cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text_col).cast("string").alias("text")))
-
-    def emit(batches):
-        from collections import Counter
-
+def positions(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(key of every byte of all lines, where each line starts)."""
+    sizes = np.array([len(x) for x in lines], np.int64)
+    pad = bytes([END]) * DEPTH
+    x = np.frombuffer(pad + pad.join(lines), np.uint8).astype(np.int64)
+    key = np.zeros(len(x) - DEPTH, np.int64)
+    for d in range(DEPTH):
+        key = key << 8 | x[DEPTH - 1 - d : len(x) - 1 - d]
+    key = key << 8 | x[DEPTH:]
+    starts = np.r_[0, np.cumsum(sizes + DEPTH)[:-1]]
+    real = np.ones(len(key), bool)
+    for d in range(DEPTH):  # the padding before each line but the first
+        real[starts[1:] - 1 - d] = False
+    return key[real], np.r_[0, np.cumsum(sizes)[:-1]]
+
+
+def blocks_of(rows: DataFrame, size: int = 16 << 20) -> DataFrame:
+    """Per block of whole texts: its texts compressed (kind 0), its contexts (1) and its words (2) with training counts."""
+
+    def emit(part):
+        block = part[0][0]
+        lines = [line(t) for _, _, _, t in part]
+        blob = zstandard.ZstdCompressor(level=3).compress(pickle.dumps(([r[1] for r in part], [r[2] for r in part], lines)))
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([0], pa.int32()), pa.array([blob], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([0], pa.int64())], names=NAMES)
+        key, starts = positions(lines)
+        train = np.repeat([r[2] for r in part], np.diff(np.r_[starts, len(key)]))
+        both, n_both = np.unique(key[train], return_counts=True)
+        keys = np.unique(key)
+        n = np.zeros(len(keys), np.int64)
+        n[np.searchsorted(keys, both)] = n_both
+        words: dict[bytes, int] = {}
+        for (_, _, learn, _), x in zip(part, lines):
+            for w in [*x[:-1].split(), b""]:
+                words[w] = words.get(w, 0) + learn
+        for start in range(0, len(keys), 50_000):
+            k, c = keys[start : start + 50_000], n[start : start + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(k)), pa.array([1] * len(k), pa.int32()), pa.nulls(len(k), pa.binary()), pa.array(k), pa.nulls(len(k), pa.binary()), pa.array(c)], names=NAMES)
+        ws = list(words)
+        for start in range(0, len(ws), 50_000):
+            w = ws[start : start + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(w)), pa.array([2] * len(w), pa.int32()), pa.nulls(len(w), pa.binary()), pa.nulls(len(w), pa.int64()), pa.array(w, pa.binary()), pa.array([words[x] for x in w], pa.int64())], names=NAMES)
+
+    def run(batches):
+        held, n = [], 0
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                r, k, w, n = [], [], [], []
-                for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    s = line(text)
-                    keys, counts = contexts(s)
-                    words = Counter(s[:-1].split())
-                    words[b""] = 1  # the end
-                    r += [row] * (len(keys) + len(words))
-                    k += keys.tolist() + [None] * len(words)
-                    w += [None] * len(keys) + [x.decode("utf-8", "surrogatepass") for x in words]
-                    n += counts.tolist() + list(words.values())
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(k, pa.int64()), pa.array(w, pa.string()), pa.array(n, pa.int64())], names=["row", "key", "word", "n"])
-
-    parts = rows.select("row", "text").mapInArrow(emit, "row long, key long, word string, n long")
-    parts = common.cut(parts.join(rows.select("row", "train"), "row"))
-    words, keys = parts.filter("word is not null"), parts.filter("key is not null")
-    known = common.cut(words.filter("train").groupBy("word").agg(F.sum("n").alias("c")))
-    total = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
-    cost = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / (total.N + 0.5 * (total.V + 1)))
-    base = words.join(known, "word", "left").groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * cost).alias("base_score"))
-    stack = tree(keys.filter("train").groupBy("key").agg(F.sum("n").alias("n")))
-    distinct = common.cut(keys.select("key").distinct())
-    asked = decisions(distinct.withColumn("n", F.lit(1)), "key")
+                for r in zip(*(c.to_pylist() for c in whole.slice(start, 256).columns)):
+                    held.append(r)
+                    n += len(r[3] or "")
+                    if n >= size:
+                        yield from emit(held)
+                        held, n = [], 0
+        if held:
+            yield from emit(held)
+
+    return rows.mapInArrow(run, "block long, kind int, blob binary, key long, word binary, n long")
+
+
+NAMES = ["block", "kind", "blob", "key", "word", "n"]
+
+
+def score(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); ``train`` is a condition on ``docs``.
+
+    Texts stay in blocks of about 16 MB; a block asks for the prices of its own distinct contexts and words only.
+    """
+    common.ship(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text_col).cast("string").alias("text"))
+    parts = common.cut(blocks_of(rows))
+    words, keys = parts.filter("kind = 2").select("block", "word", "n"), parts.filter("kind = 1").select("block", "key", "n")
+    known = common.cut(words.groupBy("word").agg(F.sum("n").alias("c")))
+    total = known.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
+    distinct = common.cut(keys.groupBy("key").agg(F.sum("n").alias("n")))
+    stack = tree(distinct.filter("n > 0"))
+    asked = decisions(distinct, "key")
     p = predictive(stack, asked)
     price = asked.join(p, ["ctx", "node"]).groupBy("key").agg(F.sum(F.log10(F.when(F.col("bit") == 1, F.col("p1")).otherwise(1 - F.col("p1")))).alias("lp"))
-    model = keys.join(price, "key").groupBy("row").agg(F.sum(F.col("n") * F.col("lp")).alias("score"))
-    return rows.select("row", "doc_id", "train").join(base, "row").join(model, "row").select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(total.N)).cast("long").alias("train_tokens"), "base_score", "score")
+    none = F.lit(None)
+    answers = keys.join(price, "key").select("block", "key", none.cast("binary").alias("word"), "lp").unionByName(words.join(known, "word").select("block", none.cast("long").alias("key"), "word", F.col("c").cast("double").alias("lp")))
+    n_train, v = int(total.N), int(total.V)
+
+    def finish(block: pa.Table, answer: pa.Table) -> pa.Table:
+        out = []
+        if answer.num_rows and block.num_rows:
+            kind = answer["word"].is_null().to_numpy(zero_copy_only=False)
+            lp = answer["lp"].to_numpy()
+            k, c = answer["key"].filter(pa.array(kind)).to_numpy(), dict(zip(answer["word"].filter(pa.array(~kind)).to_pylist(), lp[~kind].astype(np.int64).tolist()))
+            o = np.argsort(k)
+            k, price_of = k[o], lp[kind][o]
+            unknown = math.log10(0.5 / (n_train + 0.5 * (v + 1)))
+            cost = {w: (math.log10((x + 0.5) / (n_train + 0.5 * (v + 1))) if x else unknown) for w, x in c.items()}
+            for blob in block["blob"].to_pylist():
+                ids, train_flags, lines = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+                key, starts = positions(lines)
+                u, inverse = np.unique(key, return_inverse=True)
+                sums = np.add.reduceat(price_of[np.searchsorted(k, u)][inverse], starts)
+                for doc, flag, x, lm_score in zip(ids, train_flags, lines, sums.tolist()):
+                    tokens = [*x[:-1].split(), b""]
+                    out.append((doc, not flag, len(tokens), sum(1 for t in tokens if c[t]), n_train, math.fsum(map(cost.__getitem__, tokens)), lm_score))
+        cols = list(zip(*out)) if out else [()] * 7
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table([pa.array(x, t) for x, t in zip(cols, kinds)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    blobs = parts.filter("kind = 0").select(F.col("block").alias("of"), "blob")
+    return blobs.groupBy("of").cogroup(answers.select(F.col("block").alias("asks"), "key", "word", "lp").groupBy("asks")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op2_lm(spark, sf_dir: str) -> DataFrame:
