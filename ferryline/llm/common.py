@@ -51,11 +51,19 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/ferryline/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # so that the cleaner drops shuffle files nothing refers to any more
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and are not needed any more, and let shuffle files go that nothing refers to."""
+    for t in tables:
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def number_of_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
     total = docs.agg(F.sum(F.octet_length(F.col(text)) + F.lit(64)).alias("b")).first()["b"] or 0
     return max(1, -(-int(total) // block_bytes))

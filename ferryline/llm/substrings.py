@@ -4,7 +4,7 @@ Windows of 5 words are hashed; of the 16 in a 20-word window the one with the le
 have equal stand-ins and a stand-in that occurs once rules its windows out.  Windows left are extended to 10 words (both
 halves must occur twice) and to 20 words; of equal windows of 20 words the first in (document, start) stays, and the words
 the others cover go.  Each level sends only keys that survived the one before.  Hashes of one level are summed up before
-the shuffle, so a passage in very many documents is no bottleneck; a final window is told by two 64-bit halves.
+the shuffle, so a passage in very many documents is no bottleneck; a final window is told by 95 bits of hash over its two halves.
 
 Defined cases: a null text has no words; texts under 20 words lose none; null identifiers come last in order, rows with one
 identifier in order of their reading; long texts are read whole; repeated rows repeat each other; an empty table gives an
@@ -130,8 +130,8 @@ def groups(batches, n_keys: int, act):
         yield from act(kept, np.zeros(1, np.int64), np.array([len(kept[0])]))
 
 
-def level_five(rows: DataFrame) -> DataFrame:
-    """(row, at): the stand-ins that occur more than once, as an array for each row.
+def level_five(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table behind it, and (row, at): the stand-ins that occur more than once, as an array for each row.
 
     Of a hash that a piece holds several times only one row is sent, with its count; the others are settled at once.
     """
@@ -163,8 +163,9 @@ def level_five(rows: DataFrame) -> DataFrame:
 
         return groups(batches, 1, act)
 
+    common.sweep(rows.sparkSession)
     across = sent.filter("n > 0").repartition("h").sortWithinPartitions("h").mapInArrow(twice, "row long, at int")
-    return across.union(sent.filter("n = 0").select("row", "at")).groupBy("row").agg(F.collect_list("at").alias("at"))
+    return sent, across.union(sent.filter("n = 0").select("row", "at")).groupBy("row").agg(F.collect_list("at").alias("at"))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
@@ -187,12 +188,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             for o, c in zip(out, (h10[s].view(np.int64), h10[s + 10].view(np.int64), np.full(len(s), np.iinfo(np.int64).max if doc is None else doc, np.int64), np.full(len(s), row, np.int64), s.astype(np.int32))):
                 o.append(c)
         a, b, doc, row, start = map(np.concatenate, out)
+        h = a.view(np.uint64) * _M + b.view(np.uint64)  # 64 bits of both halves, and 32 more
+        a, b = common.mix64(h).view(np.int64), (common.mix64(h ^ common.mix64(a.view(np.uint64))) >> np.uint64(33)).astype(np.int32)
         o = np.lexsort((start, row, doc, b, a))
         a, b, doc, row, start = a[o], b[o], doc[o], row[o], start[o]
         first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
         return [a, b, doc, row, start, (~first).astype(np.int32)]  # a later window of the piece is settled: it goes
 
-    windows = common.cut(mapped(rows.join(level_five(rows), "row").select("row", "doc_id", "blob", "at"), windows_of, "a long, b long, doc long, row long, start int, gone int"))
+    table, repeated = level_five(rows)
+    windows = common.cut(mapped(rows.join(repeated, "row").select("row", "doc_id", "blob", "at"), windows_of, "a long, b int, doc long, row long, start int, gone int"))
+    del repeated
+    common.sweep(docs.sparkSession, table)
 
     def later(batches):
         def act(cols, starts, sizes):
