@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 16 << 20
 _SHIPPED: set[str] = set()
+TABLES: list[tuple[str, DataFrame]] = []  # what ``cut`` has written
 
 
 def ship(spark: SparkSession) -> None:
@@ -51,7 +52,9 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/ferryline/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    TABLES.append((path, out))
+    return out
 
 
 def sweep(spark: SparkSession, *tables: DataFrame) -> None:
@@ -64,6 +67,14 @@ def sweep(spark: SparkSession, *tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def sweep_before(docs: DataFrame) -> None:
+    """Delete all tables written so far but those that ``docs`` still reads: for stages whose inputs are written in between."""
+    read = "\n".join(docs.inputFiles())
+    gone = [t for t in TABLES if t[0].rpartition("/")[2] not in read]
+    TABLES[:] = [t for t in TABLES if t[0].rpartition("/")[2] in read]
+    sweep(docs.sparkSession, *[t for _, t in gone])
+
+
 def number_of_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
     total = docs.agg(F.sum(F.octet_length(F.col(text)) + F.lit(64)).alias("b")).first()["b"] or 0
     return max(1, -(-int(total) // block_bytes))
