@@ -23,6 +23,7 @@ def _with_rows(docs: DataFrame) -> DataFrame:
 
 def toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the neighbours call toxic go; labels of the held-out fold are not learned from."""
+    common.sweep_before(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     index = toxicity.learn(docs, labels.filter(F.coalesce(common.crc_mod(F.col("doc_id"), 3) != 1, F.lit(True))))
     rows = _with_rows(docs)
@@ -33,6 +34,7 @@ def toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least identifier stays."""
+    common.sweep_before(docs)
     rows = _with_rows(docs)
     grouped = simhash.near_groups(rows.select(F.col("number").alias("doc_id"), "text"))
     named = grouped.select(F.col("doc_id").alias("number"), "label").join(rows.select("number", "doc_id"), "number")
@@ -42,6 +44,7 @@ def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of windows that occur earlier go; texts that lose none stay as they are, and no document goes."""
+    common.sweep_before(docs)
     rows = _with_rows(docs)
     order = rows.select(F.col("number").alias("row_number"), "doc_id", "text", "lang", "source", "n_chars")
     cleaned = substrings.remove_repeats(order.select("doc_id", "text", "row_number"), keep="row_number")
@@ -53,6 +56,7 @@ def repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Found secrets are overwritten with a mark of their kind; no document goes."""
+    common.sweep_before(docs)
     rows = _with_rows(docs)
     found = secrets.scan(rows.select(F.col("number").alias("doc_id"), "text")).select(F.col("doc_id").alias("number"), F.array_sort(F.concat("base", "extra")).alias("spans")).filter("size(spans) > 0")
     blank = F.expr("""aggregate(spans, named_struct('at', 0, 'out', ''),
