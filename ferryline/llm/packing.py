@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 900_000
 FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
