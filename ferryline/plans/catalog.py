@@ -147,3 +147,15 @@ QUERIES = {
     "gtid_membership": lambda d: "SELECT g.n FROM (VALUES (1),(5),(9),(12)) AS g(n) JOIN (VALUES (1,5),(10,20)) AS i(lo, hi) ON g.n BETWEEN i.lo AND i.hi",
     "log_ddl_classify": lambda d: "SELECT q, CASE WHEN upper(q) LIKE 'CREATE TABLE%' OR upper(q) LIKE 'ALTER TABLE%ADD%' THEN 'safe' WHEN upper(q) LIKE 'DROP%' OR upper(q) LIKE 'TRUNCATE%' OR upper(q) LIKE 'RENAME%' OR upper(q) LIKE 'ALTER%' THEN 'risky' ELSE 'not_ddl' END AS class FROM (VALUES ('create table a (i int)'),('DROP TABLE a'),('ALTER TABLE a ADD b INT'),('ALTER TABLE a DROP b'),('INSERT INTO a VALUES (1)')) AS t(q)",
 }
+
+QUERIES |= {
+    "replication_boundary": lambda d: f"SELECT a.server AS source, b.server AS dest, CASE WHEN upper(a.log_bin) NOT IN ('1','ON','TRUE','YES') THEN 'source_log_bin_disabled' WHEN upper(a.fmt) <> 'ROW' THEN 'non_row_binlog_format' ELSE 'cross_engine_gtid_boundary_detected' END AS code FROM ({SETTINGS}) a JOIN ({SETTINGS}) b ON a.server < b.server",
+    "view_parser_drift": lambda d: "SELECT name, CASE WHEN strpos(body, '\"') > 0 THEN 'ansi_quotes' WHEN strpos(body, '||') > 0 THEN 'pipes_as_concat' ELSE 'none' END AS drift FROM (VALUES ('v1','select \"a\" from t'),('v2','select a || b from t'),('v3','select a from t')) AS t(name, body)".replace("strpos(", "instr("),
+    "report_stale": lambda d: "SELECT name, report_pos <= checkpoint_pos AS stale FROM (VALUES ('a',100,120),('b',130,120),('c',120,120)) AS t(name, report_pos, checkpoint_pos)",
+    "checkpoint_rollup": lambda d: "SELECT count(*) AS tables, sum(CASE WHEN done THEN 1 ELSE 0 END) AS completed, sum(copied) AS rows_copied FROM (VALUES ('a',true,10),('b',false,7),('c',true,0)) AS t(tbl, done, copied)",
+    "apply_keyless_block": lambda d: f"SELECT o.op, k.tbl, CASE WHEN k.key_columns IS NULL AND o.op <> 'insert' THEN 'blocked' ELSE 'allowed' END AS verdict FROM ({stable_keys(d)}) k CROSS JOIN (VALUES ('insert'),('update'),('delete')) AS o(op)",
+    "log_ddl_mixing": lambda d: "SELECT win, min(CASE WHEN kind = 'ddl' THEN seq END) AS first_ddl, min(CASE WHEN kind = 'row' THEN seq END) AS first_row, count(DISTINCT kind) > 1 AS mixed FROM (VALUES (1,1,'ddl'),(1,2,'row'),(2,1,'row'),(3,1,'ddl')) AS t(win, seq, kind) GROUP BY win",
+    "log_rollback": lambda d: "SELECT txn, count(*) AS n FROM (VALUES (1,'row'),(1,'commit'),(2,'row'),(2,'rollback'),(3,'row'),(3,'row'),(3,'commit')) AS t(txn, kind) GROUP BY txn HAVING sum(CASE WHEN kind = 'rollback' THEN 1 ELSE 0 END) = 0",
+    "account_counters": lambda d: f"SELECT count(*) AS seen, sum(CASE WHEN usr LIKE '%.sys' THEN 1 ELSE 0 END) AS skipped, sum(CASE WHEN usr NOT LIKE '%.sys' THEN 1 ELSE 0 END) AS copied FROM ({ACCOUNTS}) a",
+    "missing_triggers": lambda d: "SELECT t.tbl, e.ev FROM (VALUES ('users'),('orders')) AS t(tbl) CROSS JOIN (VALUES ('insert'),('update'),('delete')) AS e(ev) LEFT JOIN (VALUES ('users','insert'),('users','update'),('users','delete'),('orders','insert')) AS p(tbl, ev) ON p.tbl = t.tbl AND p.ev = e.ev WHERE p.tbl IS NULL",
+}
