@@ -35,7 +35,7 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.n
         base = last.sum()
         lower, seen = np.full(n, base), np.zeros((n, d))
         other = ids != query_ids[qi]
-        m, read, step = int(other.sum()), 0, 256
+        m, read, step = int(other.sum()), 0, 512
         while True:
             stop = min(n, read + step)
             part = np.where(down, order[n - stop : n - read][::-1], order[read:stop])
@@ -66,7 +66,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     ok = f"{id_col} is not null and {vector_col} is not null and size({vector_col}) > 0 and forall({vector_col}, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     rows = common.cut(vectors.filter(ok).select(F.col(id_col).cast("long").alias("id"), v.alias("v")))
     n = rows.count()
-    blocks, groups = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n // every // 256))
+    blocks, groups = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n // every // 1024))
     candidates = rows.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "id", "v", F.lit(0).alias("is_query"))
     queries = rows.filter(f"id % {every} = 0").dropDuplicates(["id"]).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "id", "v", F.lit(1).alias("is_query"))
 
