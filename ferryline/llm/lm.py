@@ -104,6 +104,34 @@ def positions(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[real], np.r_[0, np.cumsum(sizes)[:-1]]
 
 
+def runs(lines: list[bytes], size: int = 2 << 20):
+    """Bounds of runs of whole lines of about ``size`` bytes: what is worked on at once."""
+    start = n = 0
+    for i, x in enumerate(lines, 1):
+        n += len(x)
+        if n >= size or i == len(lines):
+            yield start, i
+            start, n = i, 0
+
+
+def counted(lines: list[bytes], learn: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, how often each occurs in lines to learn from)."""
+    keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for a, b in runs(lines):
+        key, starts = positions(lines[a:b])
+        k = key << 1
+        k |= np.repeat(np.array(learn[a:b], np.int64), np.diff(np.r_[starts, len(key)]))
+        k.sort()
+        at = np.flatnonzero(np.r_[True, k[1:] >> 1 != k[:-1] >> 1])
+        keys.append(k[at] >> 1)
+        counts.append(np.add.reduceat(k & 1, at))
+    k, n = np.concatenate(keys), np.concatenate(counts)
+    o = np.argsort(k, kind="stable")
+    k, n = k[o], n[o]
+    at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    return k[at], np.add.reduceat(n, at)
+
+
 def blocks_of(rows: DataFrame, size: int = 16 << 20) -> DataFrame:
     """Per block of whole texts: its texts compressed (kind 0), its contexts (1) and its words (2) with training counts."""
 
@@ -112,12 +140,7 @@ def blocks_of(rows: DataFrame, size: int = 16 << 20) -> DataFrame:
         lines = [line(t) for _, _, _, t in part]
         blob = zstandard.ZstdCompressor(level=3).compress(pickle.dumps(([r[1] for r in part], [r[2] for r in part], lines)))
         yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([0], pa.int32()), pa.array([blob], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([0], pa.int64())], names=NAMES)
-        key, starts = positions(lines)
-        train = np.repeat([r[2] for r in part], np.diff(np.r_[starts, len(key)]))
-        both, n_both = np.unique(key[train], return_counts=True)
-        keys = np.unique(key)
-        n = np.zeros(len(keys), np.int64)
-        n[np.searchsorted(keys, both)] = n_both
+        keys, n = counted(lines, [r[2] for r in part])
         words: dict[bytes, int] = {}
         for (_, _, learn, _), x in zip(part, lines):
             for w in [*x[:-1].split(), b""]:
@@ -181,10 +204,12 @@ def score(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "te
             cost = {w: (math.log10((x + 0.5) / (n_train + 0.5 * (v + 1))) if x else unknown) for w, x in c.items()}
             for blob in block["blob"].to_pylist():
                 ids, train_flags, lines = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
-                key, starts = positions(lines)
-                u, inverse = np.unique(key, return_inverse=True)
-                sums = np.add.reduceat(price_of[np.searchsorted(k, u)][inverse], starts)
-                for doc, flag, x, lm_score in zip(ids, train_flags, lines, sums.tolist()):
+                sums = []
+                for a, b in runs(lines):
+                    key, starts = positions(lines[a:b])
+                    u, inverse = np.unique(key, return_inverse=True)
+                    sums += np.add.reduceat(price_of[np.searchsorted(k, u)][inverse], starts).tolist()
+                for doc, flag, x, lm_score in zip(ids, train_flags, lines, sums):
                     tokens = [*x[:-1].split(), b""]
                     out.append((doc, not flag, len(tokens), sum(1 for t in tokens if c[t]), n_train, math.fsum(map(cost.__getitem__, tokens)), lm_score))
         cols = list(zip(*out)) if out else [()] * 7
