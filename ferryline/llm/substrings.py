@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, SHORT = 20, 5
+TURNS = 4  # the windows that survive are exchanged in so many turns, each of which frees its shuffle files
 _M = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = common.Memo(300_000)  # a worker's own
 
@@ -208,8 +209,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
         return groups(batches, 2, act)
 
-    sent = windows.filter("gone = 0").select("a", "b", "doc", "row", "start").repartition("a", "b").sortWithinPartitions("a", "b", "doc", "row", "start")
-    lost = sent.mapInArrow(later, "row long, start int").union(windows.filter("gone = 1").select("row", "start"))
+    lost = common.cut(windows.filter("gone = 1").select("row", "start"))
+    for turn in range(TURNS):
+        sent = windows.filter(f"gone = 0 and pmod(b, {TURNS}) = {turn}").select("a", "b", "doc", "row", "start").repartition("a", "b").sortWithinPartitions("a", "b", "doc", "row", "start")
+        lost = lost.union(common.cut(sent.mapInArrow(later, "row long, start int")))
+        del sent
+        common.sweep(docs.sparkSession)
+    common.sweep(docs.sparkSession, windows)
     gone = lost.groupBy("row").agg(F.collect_list("start").alias("starts"))
 
     def last(t):
