@@ -1,20 +1,30 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The index holds a bounded sample of labelled rows (``max_examples``, the least hashes of each class) over the ``max_terms``
-terms that tell the classes apart best, so its size is bounded and it is broadcast.  Examples are dealt to blocks; for each
-term and block the largest weight is kept.  A query bounds each block by the sum of its weights times these maxima, opens
-blocks in falling order of the bound and stops once no block can hold a nearer example than the k-th.  The score is the
-similarity-weighted share of toxic neighbours, shrunk to the base rate with weight ``prior``; neighbours are the evidence.
+Every word of a text counts.  A word's weight is its idf among all documents times the root of its log-likelihood ratio
+between the classes, which is counted over all labelled rows: a word that tells nothing weighs nothing, a word of few toxic
+texts only weighs what these can show, and no number of words or support bounds it.  The examples that neighbours are
+drawn from are a bounded sample (``max_examples``, the least hashes of each class, half of it for each class that has so many),
+so the index is bounded and broadcast; an example votes for as many labelled rows of its class as were left out for it.
+Examples are dealt to blocks; for each term and block the largest weight is kept.  The ``DENSE`` words with most postings
+are kept as a matrix and multiplied for many texts at once; for the others a query bounds each block by the sum of its
+weights times these maxima, on top of the largest sum that the matrix gave, opens blocks in falling order of the bound and
+stops once no block can hold a nearer example than the k-th.  Where the words left have few postings a block, all blocks are
+opened, as bounds would cost more than they save.  The score is the share of toxic neighbours, weighted by the squares of
+similarities relative to the nearest one's, shrunk to the base rate of all labelled rows with weight ``prior``; neighbours
+are the evidence.
 
-Defined cases: a null or empty text, or one without an indexed term, has no neighbour and gets the base rate; ties go to
+Defined cases: a null or empty text, or one whose words no example holds, has no neighbour and gets the base rate; ties go to
 the example first in order; long texts are read whole; null labels teach nothing; no labels at all give score 0; several
-labels of one identifier count as examples each; further columns are not read.
+labels of one identifier count as examples each, several texts of one labelled identifier as the least of them; further
+columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -24,89 +34,237 @@ from pyspark.sql import functions as F
 from . import common
 
 WORD = re.compile(r"[^\W\d_]+").findall
-MAX_EXAMPLES, MAX_TERMS, K, BLOCK, PRIOR = 8192, 64, 24, 64, 1.0
+MAX_EXAMPLES, K, BLOCK, PRIOR = 8192, 24, 64, 1.0
+DENSE, BATCH, WORTH = 512, 128, 4  # words kept as a matrix; texts multiplied at once; postings a block from which bounds pay
 
 
-def build(examples: list[tuple[str, int]], max_terms: int = MAX_TERMS):
-    """Index of labelled texts: terms with weights, block maxima, postings as a matrix of block by term by example."""
-    n, y = len(examples), np.array([t for _, t in examples], np.int64)
-    having = (Counter(), Counter())  # texts that hold a word, by label; no text's words are kept
-    for text, label in examples:
-        having[label].update(set(WORD(text.lower())))
-    pos, neg = max(int(y.sum()), 1), max(n - int(y.sum()), 1)
-    gain = {}
-    for w, p in having[1].items():
-        m = having[0][w]
-        if p + m >= max(3, n // 500) and p / pos > m / neg:
-            gain[w] = (p / pos - m / neg) ** 2 / ((p + m) / n)
-    terms = sorted(gain, key=lambda w: (-gain[w], w))[:max_terms]
-    number = {w: i for i, w in enumerate(terms)}
-    idf = np.array([np.log((n + 1) / (having[0][w] + having[1][w] + 1)) + 1 for w in terms])
-    x = np.zeros((n, len(terms)))
+class Block:
+    """The examples from ``lo`` to ``hi``."""
+
+    def __init__(self, index, lo, hi):
+        self.index, self.lo, self.hi = index, lo, hi
+
+    @property
+    def T(self) -> np.ndarray:
+        """Example by term, dense: for small indexes."""
+        x = self.index
+        out = np.zeros((self.hi - self.lo, len(x["number"])))
+        term = np.repeat(np.repeat(np.arange(len(x["number"])), np.diff(x["at"])), x["length"])
+        m = (x["of"] >= self.lo) & (x["of"] < self.hi)
+        out[x["of"][m] - self.lo, term[m]] = x["value"][m]
+        m = x["row"] >= 0
+        out[:, m] = x["dense"][x["row"][m], self.lo : self.hi].T
+        return out
+
+
+def ratio(held: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of each word, from the numbers of clean and toxic texts that hold it and of such texts in all."""
+    n = max(int(totals.sum()), 1)
+    out = np.zeros(len(held))
+    for y in (0, 1):
+        for seen, share in ((held[:, y], held.sum(1) / n), (totals[y] - held[:, y], 1 - held.sum(1) / n)):
+            want = share * totals[y]
+            at = (seen > 0) & (want > 0)
+            out[at] += 2 * seen[at] * np.log(seen[at] / want[at])
+    return np.maximum(out, 0)
+
+
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)
+
+
+def build(examples: list[tuple[str, int]], support=None):
+    """Index of labelled texts: words with weights, block maxima, postings by block and term.
+
+    ``support`` takes the words with their numbers and returns, for each, how many clean and toxic labelled texts and how many
+    documents hold it, with the totals of these three as the last row; by default the examples are all there is.
+    """
+    number: dict[str, int] = {}
+    terms, of, tf = array("i"), array("i"), array("d")
     for i, (text, _) in enumerate(examples):
-        for w, c in Counter(w for w in WORD(text.lower()) if w in number).items():
-            x[i, number[w]] = (1 + np.log(c)) * idf[number[w]]
-    norm = np.sqrt((x * x).sum(1))
-    x[norm > 0] /= norm[norm > 0, None]
-    order = np.lexsort((np.arange(n), x.argmax(1) if len(terms) else np.zeros(n), norm == 0))
-    x, y = x[order], y[order]
-    keep = norm[order] > 0
-    rate = float(y.mean()) if n else 0.0
-    unseen = float(y[~keep].mean()) if (~keep).any() else rate
-    x, y = x[keep], y[keep]
-    blocks = [(x[i : i + BLOCK].T.copy(), y[i : i + BLOCK]) for i in range(0, len(x), BLOCK)]
-    maxima = np.stack([b.max(1) for b, _ in blocks], 1) if blocks else np.zeros((len(terms), 0))
-    return {"number": number, "idf": idf, "blocks": blocks, "maxima": maxima, "rate": rate, "unseen": unseen}
+        for w, c in Counter(WORD(text.lower())).items():
+            terms.append(number.setdefault(w, len(number)))
+            of.append(i)
+            tf.append(c)
+    n, y = len(examples), np.array([t for _, t in examples], np.int64)
+    t, e, v = np.array(terms, np.int64), np.array(of, np.int64), 1 + np.log(np.array(tf))
+    del terms, of, tf
+    if support is None:
+        held = np.stack([np.bincount(t[y[e] == c], minlength=len(number)) for c in (0, 1)], 1)
+        counts = np.r_[np.c_[held, held.sum(1)], [[n - y.sum(), y.sum(), n]]]
+    else:
+        counts = support(number)
+    held, totals = counts[:-1].astype(float), counts[-1].astype(float)
+    idf = np.log((totals[2] + 1) / (held[:, 2] + 1)) + 1
+    weight = idf * np.sqrt(ratio(held[:, :2], totals[:2]))
+    v *= weight[t]
+    norm = np.sqrt(np.bincount(e, v * v, n))
+    good = v > 1e-9
+    t, e, v = t[good], e[good], v[good] / norm[e[good]]
+    by = np.argsort(v, kind="stable")
+    heaviest = np.full(n, -1)
+    heaviest[e[by]] = t[by]
+    order = np.lexsort((np.arange(n), heaviest))
+    order = order[heaviest[order] >= 0]
+    place = np.zeros(n, np.int64)
+    place[order] = np.arange(len(order))
+    e, y_of = place[e], y[order]
+    frequent = np.argsort(-np.bincount(t, minlength=len(number)), kind="stable")[:DENSE]
+    row = np.full(len(number), -1)
+    row[frequent] = np.arange(len(frequent))
+    dense, m = np.zeros((len(frequent), len(order))), row[t] >= 0
+    dense[row[t[m]], e[m]] = v[m]
+    t, e, v = t[~m], e[~m], v[~m]
+    by = np.lexsort((e, t))
+    t, e, v = t[by], e[by], v[by]
+    first = np.flatnonzero(np.r_[True, (np.diff(t) != 0) | (np.diff(e // BLOCK) != 0)]) if len(t) else np.zeros(0, np.int64)
+    index = {
+        "number": number, "idf": idf, "weight": weight, "y": y_of, "row": row, "dense": dense, "of": e.astype(np.int32), "value": v,
+        "post": np.searchsorted(t, np.arange(len(number) + 1)), "at": np.searchsorted(t[first], np.arange(len(number) + 1)), "block": (e[first] // BLOCK).astype(np.int16), "first": first.astype(np.int32),
+        "length": np.diff(np.r_[first, len(t)]).astype(np.int8), "maxima": np.maximum.reduceat(v, first) if len(t) else v,
+        "stands_for": totals[:2] / np.maximum([(y == c).sum() for c in (0, 1)], 1), "rate": totals[1] / max(totals[0] + totals[1], 1),
+    }
+    index["blocks"] = [(Block(index, lo, min(lo + BLOCK, len(order))), y_of[lo : lo + BLOCK]) for lo in range(0, len(order), BLOCK)]
+    return index
 
 
-def neighbours(index, q: np.ndarray, k: int = K):
-    """(similarities, labels, numbers) of the k nearest examples, exact, and the number of blocks opened."""
-    at = np.flatnonzero(q)
-    bounds = q[at] @ index["maxima"][at]
-    sims, labels, ids, floor, opened = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), 0.0, 0
-    for b in np.argsort(-bounds, kind="stable").tolist():
-        if bounds[b] <= 0 or (len(sims) >= k and bounds[b] < floor - 1e-12):
+def nearest(index, at: np.ndarray, q: np.ndarray, k: int = K, base: np.ndarray | None = None):
+    """(similarities, labels, numbers) of the k nearest examples to the query of weights ``q`` at the terms ``at``, and blocks opened.
+
+    ``base`` is what the words kept as a matrix give for each example.
+    """
+    row = index["row"][at]
+    if base is None:
+        base = q[row >= 0] @ index["dense"][row[row >= 0]]
+    at, q, n, n_blocks = at[row < 0], q[row < 0], len(index["y"]), len(index["blocks"])
+    if not n:
+        return np.zeros(0), index["y"], np.zeros(0, np.int64), 0
+    begin, post = index["at"][at], index["post"][at]
+    several, held = index["at"][at + 1] - begin, index["post"][at + 1] - post
+    if held.sum() < WORTH * several.sum():
+        p = ranges(post, held)
+        s = base + np.bincount(index["of"][p], index["value"][p] * np.repeat(q, held), n)
+        floor = np.partition(s, n - k)[n - k] if n > k else 0.0
+        ids = np.flatnonzero((s > 0) & (s >= floor))
+        ids = ids[np.lexsort((ids, -s[ids]))[:k]]
+        return s[ids], index["y"][ids], ids, n_blocks
+    entry, w = ranges(begin, several), np.repeat(q, several)
+    block = index["block"][entry]
+    bounds = np.bincount(block, w * index["maxima"][entry], n_blocks) + np.maximum.reduceat(base, np.arange(0, n, BLOCK))
+    order = np.argsort(-bounds, kind="stable")
+    order = order[bounds[order] > 0]
+    sims, ids, floor, opened, step = np.zeros(0), np.zeros(0, np.int64), 0.0, 0, 16
+    while opened < len(order):
+        take = order[opened : opened + step]
+        take = take[bounds[take] >= floor - 1e-9]
+        if not len(take):
             break
-        m, y = index["blocks"][b]
-        opened += 1
-        s = q[at] @ m[at]
-        sims, labels, ids = np.r_[sims, s], np.r_[labels, y], np.r_[ids, b * BLOCK + np.arange(len(y))]
-        if len(sims) > k:
-            top = np.lexsort((ids, -sims))[:k]
-            sims, labels, ids = sims[top], labels[top], ids[top]
+        opened, step = opened + len(take), 4 * step
+        chosen = np.zeros(n_blocks, bool)
+        chosen[take] = True
+        m = chosen[block]
+        length = index["length"][entry[m]]
+        p = ranges(index["first"][entry[m]], length)
+        s = base + np.bincount(index["of"][p], index["value"][p] * np.repeat(w[m], length), n)
+        new = np.flatnonzero(np.repeat(chosen, BLOCK)[:n] & (s > 0) & (s >= floor - 1e-9))
+        sims, ids = np.r_[sims, s[new]], np.r_[ids, new]
         if len(sims) >= k:
-            floor = sims.min()
-    good = sims > 0
-    return sims[good], labels[good], ids[good], opened
+            least = np.partition(sims, len(sims) - k)[len(sims) - k]
+            sims, ids = sims[sims >= least], ids[sims >= least]
+            top = np.lexsort((ids, -sims))[:k]
+            sims, ids = sims[top], ids[top]
+            floor = sims[-1]
+    top = np.lexsort((ids, -sims))
+    return sims[top], index["y"][ids[top]], ids[top], opened
+
+
+def neighbours(index, q: np.ndarray, k: int = K):
+    """``nearest`` for a dense query."""
+    at = np.flatnonzero(q)
+    return nearest(index, at, q[at], k)
+
+
+def query(index, text: str):
+    """The terms of a text and their weights, of length 1."""
+    number = index["number"]
+    bag = Counter(map(number.get, WORD(text.lower())))
+    bag.pop(None, None)
+    at = np.fromiter(bag, np.int64, len(bag))
+    q = (1 + np.log(np.fromiter(bag.values(), float, len(bag)))) * index["weight"][at]
+    at, q = at[q > 1e-9], q[q > 1e-9]
+    return at, q / max(np.sqrt((q * q).sum()), 1e-9)
+
+
+def vote(index, at: np.ndarray, q: np.ndarray, base: np.ndarray | None = None) -> float:
+    s, y, _, _ = nearest(index, at, q, base=base)
+    if not len(s):
+        return float(index["rate"])
+    s = (s / s[0]) ** 2 * index["stands_for"][y] / index["stands_for"].max()
+    return float(((s * y).sum() + PRIOR * index["rate"]) / (s.sum() + PRIOR))
+
+
+def score_texts(index, texts: list[str | None], memo: dict) -> list[float]:
+    """Scores of at most ``BATCH`` texts; ``memo`` keeps the scores of texts by their digest."""
+    keys = [blake2b(common.utf8(t), digest_size=16).digest() for t in texts]
+    if len(memo) > 100_000:
+        memo.clear()
+    new = {k: query(index, t or "") for k, t in dict(zip(keys, texts)).items() if k not in memo}
+    x = np.zeros((len(new), len(index["dense"])))
+    for i, (at, q) in enumerate(new.values()):
+        row = index["row"][at]
+        x[i, row[row >= 0]] = q[row >= 0]
+    for (k, (at, q)), base in zip(new.items(), x @ index["dense"]):
+        memo[k] = vote(index, at, q, base)
+    return [memo[k] for k in keys]
 
 
 def score_text(index, text: str | None, memo: dict) -> float:
-    number, bag = index["number"], {}
-    for w in WORD((text or "").lower()):
-        if w in number:
-            bag[w] = bag.get(w, 0) + 1
-    key = tuple(sorted(bag.items()))
-    if key not in memo:
-        if len(memo) > 100_000:
-            memo.clear()
-        memo[key] = index["unseen"]
-        if bag:
-            q = np.zeros(len(number))
-            for w, c in bag.items():
-                q[number[w]] = (1 + np.log(c)) * index["idf"][number[w]]
-            q /= np.sqrt((q * q).sum())
-            s, y, _, _ = neighbours(index, q)
-            memo[key] = float(((s * s * y).sum() + PRIOR * index["rate"]) / ((s * s).sum() + PRIOR))
-    return memo[key]
+    return score_texts(index, [text], memo)[0]
+
+
+def count_words(texts: DataFrame, number: dict[str, int]) -> np.ndarray:
+    """For each word of ``number``, how many of the ``texts`` (kind 0, 1 or 2, text) of each kind hold it; last, how many there are."""
+    spark = texts.sparkSession
+    common.ship(spark)
+    shared = spark.sparkContext.broadcast(number)
+
+    def run(batches):
+        words = shared.value
+        held = np.zeros((len(words) + 1, 3), np.int64)
+        for batch in batches:
+            for kind, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                bag = {words[w] for w in set(WORD((text.as_py() or "").lower())) if w in words}
+                held[np.fromiter(bag, np.int64, len(bag)), kind] += 1
+                held[-1, kind] += 1
+        for at in np.array_split(np.flatnonzero(held.any(1)), 1 + len(words) // 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(held[at, c]) for c in range(3))], names=["term", "n0", "n1", "n2"])
+
+    summed = texts.mapInArrow(run, "term long, n0 long, n1 long, n2 long").groupBy("term").agg(F.sum("n0"), F.sum("n1"), F.sum("n2")).toArrow()
+    out = np.zeros((len(number) + 1, 3), np.int64)
+    for c in range(3):
+        out[summed.column(0).to_numpy(), c] = summed.column(c + 1).to_numpy()
+    shared.unpersist()
+    return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    drawn = marked.join(texts.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id", "y").limit(max_examples)
-    chosen = F.broadcast(common.cut(drawn))  # at most max_examples rows of two numbers
-    rows = texts.join(chosen, "id").select("id", "y", F.coalesce("text", F.lit("")).alias("text")).orderBy("id", "y").limit(max_examples).collect()
-    return build([(r.text, r.y) for r in rows])
+    one = texts.join(marked.select("id"), "id", "left_semi").groupBy("id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    labelled = common.cut(one.join(marked, "id"))
+    there = {r.y: r["count"] for r in labelled.groupBy("y").count().collect()}
+    half = max_examples // 2
+    quota = {y: max(half, max_examples - there.get(1 - y, 0)) for y in (0, 1)}
+    drawn = [labelled.filter(F.col("y") == y).select("id", "y").orderBy(F.xxhash64("id"), "id").limit(quota[y]) for y in (0, 1)]
+    # at most max_examples rows of two numbers; repeated labels are counted, not joined twice
+    chosen = F.broadcast(common.cut(drawn[0].unionByName(drawn[1]).groupBy("id", "y").agg(F.count("*").cast("int").alias("times"))))
+    rows = labelled.dropDuplicates(["id", "y"]).join(chosen, ["id", "y"]).select("id", "y", "times", "text").orderBy("id", "y").collect()
+    kinds = labelled.select(F.col("y").alias("kind"), "text").unionByName(texts.select(F.lit(2).alias("kind"), "text"))
+    index = build([(r.text, r.y) for r in rows for _ in range(r.times)], lambda number: count_words(kinds, number))
+    common.sweep(docs.sparkSession, labelled)
+    return index
 
 
 def score(docs: DataFrame, index, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,9 +276,9 @@ def score(docs: DataFrame, index, *, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         memo: dict = {}
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                out = [score_text(shared.value, t, memo) for t in batch.column(1).to_pylist()]
+            for start in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(start, BATCH)
+                out = score_texts(shared.value, batch.column(1).to_pylist(), memo)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")

@@ -249,3 +249,20 @@ def test_lm_against_brute_force(spark):
         assert abs(got[d].score - brute_ctw(train, lm.line(t))) < 1e-6, (t, got[d].score, brute_ctw(train, lm.line(t)))
     assert lm.score(documents(spark), crc_mod(F.col("doc_id"), 5) != 1).count() == 9
     assert lm.score(documents(spark, []), F.lit(True)).count() == 0
+
+
+def test_rare_toxic_wording_is_kept_at_full_sample(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(12)) + (" zorn" if i < 10 else ""), "de") for i in range(9000)]
+    docs = spark.createDataFrame(rows + [(9000, "zorn w1 w2", "de"), (9001, "w1 w2 w3", "de")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(9000)], "doc_id long, toxic int")
+    index = toxicity.learn(docs, labels)
+    assert index["y"].sum() == 10 and abs(index["rate"] - 10 / 9000) < 1e-12
+    got = {r.doc_id: r.score for r in toxicity.score(docs.filter("doc_id >= 9000"), index).collect()}
+    assert got[9001] < 0.1 < 0.25 < got[9000]
+
+
+def test_a_repeated_labelled_text_takes_one_place(spark):
+    docs = spark.createDataFrame([(1, f"copy {i}") for i in range(30)] + [(2, "two"), (3, "three")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    assert sorted(toxicity.learn(docs, labels, max_examples=4)["y"]) == [0, 0, 1]
