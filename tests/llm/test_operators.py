@@ -266,3 +266,19 @@ def test_a_repeated_labelled_text_takes_one_place(spark):
     docs = spark.createDataFrame([(1, f"copy {i}") for i in range(30)] + [(2, "two"), (3, "three")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
     assert sorted(toxicity.learn(docs, labels, max_examples=4)["y"]) == [0, 0, 1]
+
+
+
+def test_every_word_counts_in_a_toxic_text():
+    rng = random.Random(12)
+    ex = [(" ".join(f"{'bad' if i % 2 else 'good'}{rng.randrange(400)}" for _ in range(5)), i % 2) for i in range(1200)]
+    index, memo = toxicity.build(ex), {}
+    assert all(toxicity.score_text(index, t, memo) > 0.7 for t, y in ex if y)
+    for text in ("bad7 good9 bad11", "bad1 bad2 unknown"):
+        at, q = toxicity.query(index, text)
+        full = np.concatenate([m.T for m, _ in index["blocks"]])
+        want = np.sort(full[:, at] @ q)[::-1][: toxicity.K]
+        for worth in (0, 1e9):
+            toxicity.WORTH, was = worth, toxicity.WORTH
+            assert np.allclose(toxicity.nearest(index, at, q)[0], want[want > 0])
+            toxicity.WORTH = was
