@@ -3,7 +3,8 @@
 Base spans come from three patterns.  Spans are found by splitting a text at the matches: lengths of the parts between and
 of the matches add up to offsets in code points.  Weak candidates (short access identifiers, long mixed tokens, endpoints
 with a user part) are reported only where a complementary part lies within ``scope`` characters: an interval join on the
-document and on buckets of offsets, each candidate standing in its own bucket and the two next to it.
+document and on buckets of offsets, each candidate standing in its own bucket and the two next to it.  A long token inside a
+base span is told with that span; one of any length, after '=' or padded with '=', is a candidate.
 
 Defined cases: a null text is the empty text; no span gives empty strings; long texts are scanned whole; repeated rows each
 keep their result (rows are numbered first); an empty table gives an empty table; further columns are not read.
@@ -20,7 +21,7 @@ ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][e
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{16,}"
 WEAK_ID = "AKIA[A-Z0-9]{8,13}(?![A-Z0-9])"
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/]{0,60}[0-9])(?=[A-Za-z0-9+/]{0,60}[A-Z])(?=[A-Za-z0-9+/]{0,60}[a-z])[A-Za-z0-9+/]{24,64}(?![A-Za-z0-9+/_=-])"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/_-])"
 ENDPOINT = r"https?://[A-Za-z0-9._~-]+:[A-Za-z0-9._~-]+@[A-Za-z0-9.-]+"
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 
@@ -51,7 +52,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sco
         spans(text, HEX, 2),
     )
     weak = F.concat(spans(text, WEAK_ID, 3), spans(text, WEAK_SECRET, 4), spans(text, ENDPOINT, 5))
-    found = common.cut(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", base.alias("base"), weak.alias("weak")))
+    found = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", base.alias("base"), weak.alias("weak"))
+    told = lambda w: (w["kind"] == 4) & F.exists("base", lambda b: (b["start"] <= w["start"]) & (w["end"] <= b["end"]))
+    found = common.cut(found.withColumn("weak", F.filter("weak", lambda w: ~told(w))))
     parts = found.filter("size(weak) > 0").select("row", F.explode(F.concat("base", "weak")).alias("s")).select("row", "s.*")
     # an identifier needs a secret or an endpoint, a secret needs an identifier or an endpoint, an endpoint either
     role = F.when(F.col("kind").isin(1, 3), 0).when(F.col("kind").isin(0, 2, 4), 1).otherwise(2)

@@ -282,3 +282,15 @@ def test_every_word_counts_in_a_toxic_text():
             toxicity.WORTH, was = worth, toxicity.WORTH
             assert np.allclose(toxicity.nearest(index, at, q)[0], want[want > 0])
             toxicity.WORTH = was
+
+
+def test_weak_secrets_of_any_length_after_equals_or_padded(spark):
+    secret, ident = "aB3dEfGh1jKlMnOpQrStUvWx" + "yZ0aB3dEfGh1jKlM", "AKIAABCDEFGHIJ"
+    forms = [f"aws_secret_access_key={secret}", f"key {secret}==", f"key {secret * 3}", f"key {'a' * 70}B1"]
+    rows = [(i, f"{ident} {f} end", "en") for i, f in enumerate(forms)] + [(8, f"secret={secret} {ident}", "en")]
+    got = {r.doc_id: r for r in secrets.scan(documents(spark, rows)).collect()}
+    for i, f in enumerate(forms):
+        value = f.split(" ")[-1].removeprefix("aws_secret_access_key=")
+        start = rows[i][1].index(value)
+        assert sorted(map(tuple, got[i].extra)) == [(0, 3, 14), (start, 4, start + len(value))], f
+    assert [s.kind for s in got[8].base] == [0] and [s.kind for s in got[8].extra] == [3]
