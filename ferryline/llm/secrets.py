@@ -2,8 +2,9 @@
 
 Base spans come from three patterns.  Spans are found by splitting a text at the matches: lengths of the parts between and
 of the matches add up to offsets in code points.  Weak candidates (short access identifiers, long mixed tokens, endpoints
-with a user part) are reported only where a complementary part lies within ``scope`` characters: an interval join on the
-document and on buckets of offsets, each candidate standing in its own bucket and the two next to it.  A long token inside a
+of any scheme or host:port, with or without a user part) are reported only where at most ``scope`` characters lie between
+them and a complementary part: an interval join on the document and on buckets of offsets, each part standing in all buckets
+from its start to its end, a candidate also in the two next to these.  A long token inside a
 base span is told with that span; one of any length, after '=' or padded with '=', is a candidate.
 
 Defined cases: a null text is the empty text; no span gives empty strings; long texts are scanned whole; repeated rows each
@@ -22,7 +23,10 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{16,}"
 WEAK_ID = "AKIA[A-Z0-9]{8,13}(?![A-Z0-9])"
 WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/_-])"
-ENDPOINT = r"https?://[A-Za-z0-9._~-]+:[A-Za-z0-9._~-]+@[A-Za-z0-9.-]+"
+_HOST = r"(?:\[[0-9A-Fa-f:.]+\]|[A-Za-z0-9._-]+)(?::[0-9]+)?"
+_URL = r"""(?<![A-Za-z0-9+.-])[A-Za-z0-9+.-]+://(?:[^\s/@?#"'<>]+@)?""" + _HOST + "(?:," + _HOST + r""")*(?:[/?#][^\s"'<>]*)?"""
+_PORT = r"(?<![A-Za-z0-9._:/@-])(?=[A-Za-z0-9.-]*[A-Za-z]|[0-9]+(?:\.[0-9]+){3}:)[A-Za-z0-9][A-Za-z0-9.-]*:[0-9]{2,5}(?![A-Za-z0-9])"
+ENDPOINT = f"{_URL}|{_PORT}"
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 
 
@@ -58,10 +62,12 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sco
     parts = found.filter("size(weak) > 0").select("row", F.explode(F.concat("base", "weak")).alias("s")).select("row", "s.*")
     # an identifier needs a secret or an endpoint, a secret needs an identifier or an endpoint, an endpoint either
     role = F.when(F.col("kind").isin(1, 3), 0).when(F.col("kind").isin(0, 2, 4), 1).otherwise(2)
-    parts = parts.withColumn("role", role).withColumn("bucket", F.expr(f"start div {scope}"))
-    left = parts.filter("kind >= 3")
-    right = parts.select("row", F.col("start").alias("s2"), F.col("role").alias("r2"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket")).distinct()
-    linked = left.alias("l").join(right.alias("r"), (F.col("l.row") == F.col("r.row")) & (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.role") != F.col("r.r2")) & (F.abs(F.col("l.start") - F.col("r.s2")) <= scope), "left_semi")
+    bucket = lambda c: F.floor(F.col(c) / scope).cast("long")
+    parts = parts.withColumn("role", role)
+    left = parts.filter("kind >= 3").withColumn("bucket", F.explode(F.sequence(bucket("start") - 1, bucket("end") + 1)))
+    right = parts.select("row", F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("role").alias("r2"), F.explode(F.sequence(bucket("start"), bucket("end"))).alias("bucket")).distinct()
+    near = (F.col("l.start") - F.col("r.e2") <= scope) & (F.col("r.s2") - F.col("l.end") <= scope)
+    linked = left.alias("l").join(right.alias("r"), (F.col("l.row") == F.col("r.row")) & (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.role") != F.col("r.r2")) & near, "left_semi")
     extra = linked.groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("extra"))
     joined = found.join(extra, "row", "left")
     return joined.select("doc_id", "base", F.coalesce("extra", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("extra"))

@@ -294,3 +294,15 @@ def test_weak_secrets_of_any_length_after_equals_or_padded(spark):
         start = rows[i][1].index(value)
         assert sorted(map(tuple, got[i].extra)) == [(0, 3, 14), (start, 4, start + len(value))], f
     assert [s.kind for s in got[8].base] == [0] and [s.kind for s in got[8].extra] == [3]
+
+
+def test_endpoints_of_any_form_and_gaps_between_ends(spark):
+    ident = "AKIAABCDEFGHIJ"
+    forms = ["https://host.example/path", "https://host.example:8443", "postgres://db.example/x", "redis://:p%40ss!@cache:6379/0", "mysql://u:p@10.0.0.1:3306", "db.example:5432", "10.0.0.1:5432"]
+    rows = [(i, f"{f} {ident}", "en") for i, f in enumerate(forms)]
+    rows += [(20, f"token={'ab1-' * 150} {ident}", "en"), (21, f"{ident} {'x ' * 99}https://host.example/{'p' * 700} {'x ' * 99}{ident}", "en"), (22, f"{ident} {'x ' * 101}https://host.example", "en"), (23, "see https://host.example at 10:30", "en")]
+    got = {r.doc_id: r for r in secrets.scan(documents(spark, rows)).collect()}
+    for i, f in enumerate(forms):
+        assert sorted(map(tuple, got[i].extra)) == [(0, 5, len(f)), (len(f) + 1, 3, len(f) + 15)], f
+    assert [s.kind for s in got[20].extra] == [3] and sorted(s.kind for s in got[21].extra) == [3, 3, 5]
+    assert not got[22].extra and not got[23].extra
