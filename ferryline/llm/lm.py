@@ -172,6 +172,7 @@ def blocks_of(rows: DataFrame, size: int = 16 << 20) -> DataFrame:
 NAMES = ["block", "kind", "blob", "key", "word", "n"]
 
 
+@common.owned
 def score(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); ``train`` is a condition on ``docs``.
 

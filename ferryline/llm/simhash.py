@@ -163,6 +163,7 @@ def links(nodes: DataFrame, *, max_bits: int = 4, chunk: int = CHUNK) -> DataFra
     return placed.mapInArrow(lambda batches: link_groups(batches, max_bits), "a long, b long")
 
 
+@common.owned
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """(doc_id, fp, label, component_id): ``label`` is one fingerprint of the group, equal for all its rows."""
     rows = common.cut(fingerprints(docs, id_col=id_col, text_col=text_col, words_in_shingle=words_in_shingle))

@@ -10,8 +10,10 @@ are kept as a matrix and multiplied for many texts at once; for the others a que
 weights times these maxima, on top of the largest sum that the matrix gave, opens blocks in falling order of the bound and
 stops once no block can hold a nearer example than the k-th.  Where the words left have few postings a block, all blocks are
 opened, as bounds would cost more than they save.  The score is the share of toxic neighbours, weighted by the squares of
-similarities relative to the nearest one's, shrunk to the base rate of all labelled rows with weight ``prior``; neighbours
-are the evidence.
+similarities relative to the nearest one's, shrunk to the base rate of all labelled rows with weight ``prior``.  That vote is
+calibrated: for at most ``CALIBRATE`` examples of each class it is taken without the example itself, and a logistic curve over
+its log odds, fitted to these with the weights of the rows they stand for, gives the score.  Neighbours are the evidence: the
+identifiers of the nearest, nearest first.
 
 Defined cases: a null or empty text, or one whose words no example holds, has no neighbour and gets the base rate; ties go to
 the example first in order; long texts are read whole; null labels teach nothing; no labels at all give score 0; several
@@ -35,6 +37,7 @@ from . import common
 
 WORD = re.compile(r"[^\W\d_]+").findall
 MAX_EXAMPLES, K, BLOCK, PRIOR = 8192, 24, 64, 1.0
+CALIBRATE, SHOWN = 768, 5  # examples of each class that calibration votes on; neighbours given as evidence
 DENSE, BATCH, WORTH = 512, 128, 4  # words kept as a matrix; texts multiplied at once; postings a block from which bounds pay
 
 
@@ -75,10 +78,10 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)
 
 
-def build(examples: list[tuple[str, int]], support=None):
+def build(examples: list[tuple[str, int]], support=None, names: list[int] | None = None):
     """Index of labelled texts: words with weights, block maxima, postings by block and term.
 
-    ``support`` takes the words with their numbers and returns, for each, how many clean and toxic labelled texts and how many
+    ``names`` are the identifiers of the examples, their numbers by default.  ``support`` takes the words with their numbers and returns, for each, how many clean and toxic labelled texts and how many
     documents hold it, with the totals of these three as the last row; by default the examples are all there is.
     """
     number: dict[str, int] = {}
@@ -121,6 +124,7 @@ def build(examples: list[tuple[str, int]], support=None):
     t, e, v = t[by], e[by], v[by]
     first = np.flatnonzero(np.r_[True, (np.diff(t) != 0) | (np.diff(e // BLOCK) != 0)]) if len(t) else np.zeros(0, np.int64)
     index = {
+        "name": np.array(range(n) if names is None else names, np.int64)[order], "curve": (1.0, 0.0),
         "number": number, "idf": idf, "weight": weight, "y": y_of, "row": row, "dense": dense, "of": e.astype(np.int32), "value": v,
         "post": np.searchsorted(t, np.arange(len(number) + 1)), "at": np.searchsorted(t[first], np.arange(len(number) + 1)), "block": (e[first] // BLOCK).astype(np.int16), "first": first.astype(np.int32),
         "length": np.diff(np.r_[first, len(t)]).astype(np.int8), "maxima": np.maximum.reduceat(v, first) if len(t) else v,
@@ -197,16 +201,53 @@ def query(index, text: str):
     return at, q / max(np.sqrt((q * q).sum()), 1e-9)
 
 
-def vote(index, at: np.ndarray, q: np.ndarray, base: np.ndarray | None = None) -> float:
-    s, y, _, _ = nearest(index, at, q, base=base)
+def vote(index, at: np.ndarray, q: np.ndarray, base: np.ndarray | None = None, but: int = -1) -> tuple[float, list[int]]:
+    """The vote of the nearest, without the example numbered ``but``, and the identifiers of the first of them."""
+    s, y, ids, _ = nearest(index, at, q, K + (but >= 0), base)
+    if but >= 0:
+        others = np.flatnonzero(ids != but)[:K]
+        s, y, ids = s[others], y[others], ids[others]
     if not len(s):
-        return float(index["rate"])
+        return float(index["rate"]), []
     s = (s / s[0]) ** 2 * index["stands_for"][y] / index["stands_for"].max()
-    return float(((s * y).sum() + PRIOR * index["rate"]) / (s.sum() + PRIOR))
-
-
-def score_texts(index, texts: list[str | None], memo: dict) -> list[float]:
-    """Scores of at most ``BATCH`` texts; ``memo`` keeps the scores of texts by their digest."""
+    return float(((s * y).sum() + PRIOR * index["rate"]) / (s.sum() + PRIOR)), index["name"][ids[:SHOWN]].tolist()
+
+
+def log_odds(p):
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def curved(index, share: float) -> float:
+    """The calibrated vote; no vote leaves the range from 0 to 1, and no labels at all stay at 0."""
+    if index["rate"] <= 0 or index["rate"] >= 1:
+        return share
+    slope, shift = index["curve"]
+    return float(1 / (1 + np.exp(-(slope * log_odds(share) + shift))))
+
+
+def calibrate(index, examples: list[tuple[str, int]], steps: int = 50) -> tuple[float, float]:
+    """Slope and shift of the logistic curve through votes on examples (text, number in the index), by Newton's method."""
+    if not examples or not 0 < index["rate"] < 1:
+        return 1.0, 0.0
+    found = [vote(index, *query(index, text), but=i)[0] for text, i in examples]
+    x, y = log_odds(np.array(found)), index["y"][[i for _, i in examples]]
+    drawn = np.maximum([(y == c).sum() for c in (0, 1)], 1)
+    total = np.array([(index["y"] == c).sum() for c in (0, 1)]) * index["stands_for"]
+    weight = (total / drawn)[y]
+    weight = weight * len(y) / weight.sum()
+    theta, pull = np.array([1.0, 0.0]), np.array([0.02, 0.02])  # a slight pull to the vote as it is keeps parted classes finite
+    design = np.stack([x, np.ones(len(x))], 1)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(design @ theta, -40, 40)))
+        gradient = design.T @ (weight * (p - y)) + pull * (theta - [1.0, 0.0])
+        step = np.linalg.solve(design.T @ (design * (weight * p * (1 - p))[:, None]) + np.diag(pull), gradient)
+        theta = theta - step / max(1.0, np.abs(step).max())
+    return max(float(theta[0]), 1e-3), float(theta[1])
+
+
+def judge_texts(index, texts: list[str | None], memo: dict) -> list[tuple[float, list[int]]]:
+    """Scores and evidence of at most ``BATCH`` texts; ``memo`` keeps them by the digest of the text."""
     keys = [blake2b(common.utf8(t), digest_size=16).digest() for t in texts]
     if len(memo) > 100_000:
         memo.clear()
@@ -216,12 +257,13 @@ def score_texts(index, texts: list[str | None], memo: dict) -> list[float]:
         row = index["row"][at]
         x[i, row[row >= 0]] = q[row >= 0]
     for (k, (at, q)), base in zip(new.items(), x @ index["dense"]):
-        memo[k] = vote(index, at, q, base)
+        share, shown = vote(index, at, q, base)
+        memo[k] = curved(index, share), shown
     return [memo[k] for k in keys]
 
 
 def score_text(index, text: str | None, memo: dict) -> float:
-    return score_texts(index, [text], memo)[0]
+    return judge_texts(index, [text], memo)[0][0]
 
 
 def count_words(texts: DataFrame, number: dict[str, int]) -> np.ndarray:
@@ -250,6 +292,15 @@ def count_words(texts: DataFrame, number: dict[str, int]) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
+    """The index of ``build``, calibrated, from the rows of ``docs`` that ``labels`` tell 0 or 1."""
+    with common.owning(docs.sparkSession) as own:
+        before = list(own.paths)
+        index = _learn(docs, labels, max_examples, id_col, text_col, label_col)
+        own.drop_since(before)
+    return index
+
+
+def _learn(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: str, text_col: str, label_col: str):
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     one = texts.join(marked.select("id"), "id", "left_semi").groupBy("id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
@@ -262,30 +313,37 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLE
     chosen = F.broadcast(common.cut(drawn[0].unionByName(drawn[1]).groupBy("id", "y").agg(F.count("*").cast("int").alias("times"))))
     rows = labelled.dropDuplicates(["id", "y"]).join(chosen, ["id", "y"]).select("id", "y", "times", "text").orderBy("id", "y").collect()
     kinds = labelled.select(F.col("y").alias("kind"), "text").unionByName(texts.select(F.lit(2).alias("kind"), "text"))
-    index = build([(r.text, r.y) for r in rows for _ in range(r.times)], lambda number: count_words(kinds, number))
-    common.sweep(docs.sparkSession, labelled)
+    each = [r for r in rows for _ in range(r.times)]
+    index = build([(r.text, r.y) for r in each], lambda number: count_words(kinds, number), [r.id for r in each])
+    text_of = {(r.id, r.y): r.text for r in rows}
+    by_class = [np.flatnonzero(index["y"] == y) for y in (0, 1)]
+    drawn = [m[np.linspace(0, len(m) - 1, min(len(m), CALIBRATE)).astype(int)] for m in by_class if len(m)]
+    index["curve"] = calibrate(index, [(text_of[int(index["name"][i]), int(index["y"][i])], int(i)) for i in np.concatenate(drawn or [np.zeros(0, int)])])
     return index
 
 
-def score(docs: DataFrame, index, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score)."""
+def score(docs: DataFrame, index, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, score, evidence array<long>[, carried columns of ``docs``])."""
     spark = docs.sparkSession
     common.ship(spark)
     shared = spark.sparkContext.broadcast(index)
+    names = ["doc_id", "score", "evidence", *carry]
 
     def run(batches):
         memo: dict = {}
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
-                out = score_texts(shared.value, batch.column(1).to_pylist(), memo)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
+                found = judge_texts(shared.value, batch.column(1).to_pylist(), memo)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), *batch.columns[2:]], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, f"doc_id long, score double, evidence array<bigint>{kinds}")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.coalesce(common.crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
     index = learn(docs, labels.filter(~held_out))
-    return score(docs, index).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return score(docs, index).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
