@@ -1,10 +1,14 @@
 """Exact removal of repeated passages by level-wise doubling.
 
 Windows of 5 words are hashed; of the 16 in a 20-word window the one with the least hash stands for it, so equal windows
-have equal stand-ins and a stand-in that occurs once rules its windows out.  Windows left are extended to 10 words (both
-halves must occur twice) and to 20 words; of equal windows of 20 words the first in (document, start) stays, and the words
-the others cover go.  Each level sends only keys that survived the one before.  Hashes of one level are summed up before
-the shuffle, so a passage in very many documents is no bottleneck; a final window is told by 95 bits of hash over its two halves.
+have equal stand-ins and a stand-in that occurs once rules its windows out.  Windows whose stand-in of 5 words repeats, and no
+others, are extended to 10 words: of their 11 windows of 10 words again the least stands for them and must repeat.  Windows left
+are extended to 20 words; of equal windows of 20 words the first in (document, start) stays, and the words the others cover
+go.  Each level sends only keys that survived the one before.  Hashes of one level are summed up before the shuffle, so a
+passage in very many documents is no bottleneck; a final window is told by 95 bits of hash over its two halves.
+
+Words are hashed over all bytes of a text at once: a word's polynomial in its bytes is the difference of two prefix sums.
+Words over ``LONG`` bytes, where such sums modulo 2**64 can be made to agree, are hashed one at a time.
 
 Defined cases: a null text has no words; texts under 20 words lose none; null identifiers come last in order, rows with one
 identifier in order of their reading; long texts are read whole; repeated rows repeat each other; an empty table gives an
@@ -24,18 +28,54 @@ from . import common
 
 WINDOW, SHORT = 20, 5
 TURNS = 4  # the windows that survive are exchanged in so many turns, each of which frees its shuffle files
+LONG, PIECE = 64, 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
-_WORDS = common.Memo(300_000)  # a worker's own
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    out = []
-    for i in range(0, len(words), _WORDS.size):
-        part = words[i : i + _WORDS.size]
-        for w in _WORDS.unknown(set(part)):
-            _WORDS.young[w] = xxhash.xxh64_intdigest(w)
-        out.append(np.fromiter(map(_WORDS.young.__getitem__, part), np.uint64, len(part)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_POWERS: list[np.ndarray] = []
+
+
+def powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A value for each byte; powers of a factor modulo 2**64 and of its inverse."""
+    if not _POWERS:
+        def row(factor: int) -> np.ndarray:
+            out = np.full(PIECE, factor, np.uint64)
+            out[0] = 1
+            return np.multiply.accumulate(out)
+
+        factor = 0xD1342543DE82EF95
+        _POWERS.extend([common.mix64(np.arange(1, 257, dtype=np.uint64) * _M), row(factor), row(pow(factor, -1, 1 << 64))])
+    return tuple(_POWERS)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words of a text in order."""
+    if len(text) > PIECE:
+        out, at = [], 0
+        while at < len(text):
+            stop = at + PIECE
+            if stop < len(text):
+                blanks = np.flatnonzero(_BLANK[np.frombuffer(text[at:stop], np.uint8)])
+                stop = at + int(blanks[-1]) + 1 if len(blanks) else len(text)
+            if stop - at > PIECE:  # a word of more than a piece, and what follows it
+                words = text[at:].split(None, 1)
+                out.append(np.array([xxhash.xxh64_intdigest(words[0])], np.uint64))
+                at = len(text) - len(words[1]) if len(words) > 1 else len(text)
+                continue
+            out.append(word_hashes(text[at:stop]))
+            at = stop
+        return np.concatenate(out)
+    raw = np.frombuffer(text, np.uint8)
+    blank = np.r_[True, _BLANK[raw], True]
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edge[::2], edge[1::2]
+    value, up, down = powers()
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(value[raw] * up[: len(raw)], out=total[1:])
+    h = common.mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _M) if len(start) else np.empty(0, np.uint64)
+    for i in np.flatnonzero(end - start > LONG):
+        h[i] = xxhash.xxh64_intdigest(text[start[i] : end[i]])
+    return h
 
 
 def double(h: np.ndarray, n: int) -> np.ndarray:
@@ -43,9 +83,9 @@ def double(h: np.ndarray, n: int) -> np.ndarray:
     return common.mix64(h[:-n] * _M + h[n:]) if len(h) > n else np.empty(0, np.uint64)
 
 
-def levels(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def levels(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows of 5 and of 10 words."""
-    w = word_hashes(words)
+    w = word_hashes(text)
     n = len(w) - SHORT + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
@@ -56,21 +96,32 @@ def levels(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, double(h, SHORT)
 
 
-def sliding_min(h: np.ndarray) -> np.ndarray:
-    """Least of each 16 in a row."""
-    for s in (1, 2, 4, 8):
-        h = np.minimum(h[:-s], h[s:])
+def sliding(h: np.ndarray, n: int, pick=np.minimum) -> np.ndarray:
+    """Least (or what ``pick`` takes) of each ``n`` in a row."""
+    width = 1
+    while width < n:
+        s = min(width, n - width)
+        h = pick(h[:-s], h[s:])
+        width += s
     return h
 
 
-def stand_ins(h5: np.ndarray) -> np.ndarray:
-    """Positions that stand for some 20-word window."""
-    if len(h5) < WINDOW - SHORT + 1:
+def stand_ins(h: np.ndarray, n: int, candidate: np.ndarray | None = None) -> np.ndarray:
+    """Positions that stand for a window of ``n`` hashes, of those marked in ``candidate`` or of all."""
+    if len(h) < n:
         return np.empty(0, np.int64)
-    least = np.r_[np.zeros(15, np.uint64), sliding_min(h5), np.zeros(15, np.uint64)]
-    for s in (1, 2, 4, 8):
-        least = np.maximum(least[:-s], least[s:])
-    return np.flatnonzero(least == h5)
+    least = sliding(h, n)
+    if candidate is not None:
+        least = np.where(candidate, least, 0)
+    pad = np.zeros(n - 1, np.uint64)
+    return np.flatnonzero((sliding(np.r_[pad, least, pad], n, np.maximum) == h) & (h != 0))
+
+
+def still(h: np.ndarray, n: int, at) -> np.ndarray:
+    """For each window of ``n`` hashes whether what stands for it is at one of the positions ``at``."""
+    flagged, at = np.full(len(h), np.iinfo(np.uint64).max, np.uint64), np.array(at)
+    flagged[at] = h[at]
+    return sliding(flagged, n) == sliding(h, n)
 
 
 def mapped(docs: DataFrame, emit, schema: str, rows: int = 4096, size: int = 32 << 20) -> DataFrame:
@@ -103,8 +154,8 @@ def packed(text: str | None) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(common.utf8(text))
 
 
-def words_of(blob: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(blob).split()
+def text_of(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
 
 
 def columns(table: pa.Table, *numbers: int):
@@ -131,18 +182,18 @@ def groups(batches, n_keys: int, act):
         yield from act(kept, np.zeros(1, np.int64), np.array([len(kept[0])]))
 
 
-def level_five(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The table behind it, and (row, at): the stand-ins that occur more than once, as an array for each row.
+def repeated(rows: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
+    """The table behind it, and (row, at): the positions of keys that occur more than once, as an array for each row.
 
-    Of a hash that a piece holds several times only one row is sent, with its count; the others are settled at once.
+    ``keys`` gives (hashes, positions) of a row of ``rows``, whose first columns are row and doc_id.  Of a hash that a piece holds
+    several times only one row is sent, with its count; the others are settled at once.
     """
 
     def emit(t):
         hs, rs, ps = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-        for row, blob in columns(t, 0, 2):
-            h5, _ = levels(words_of(blob))
-            at = stand_ins(h5)
-            hs.append(h5[at])
+        for row, *more in columns(t, 0, *range(2, t.num_columns)):
+            h, at = keys(*more)
+            hs.append(h)
             rs.append(np.full(len(at), row, np.int64))
             ps.append(at.astype(np.int32))
         h, r, p = np.concatenate(hs), np.concatenate(rs), np.concatenate(ps)
@@ -164,28 +215,40 @@ def level_five(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         return groups(batches, 1, act)
 
-    common.sweep(rows.sparkSession)
     across = sent.filter("n > 0").repartition("h").sortWithinPartitions("h").mapInArrow(twice, "row long, at int")
     return sent, across.union(sent.filter("n = 0").select("row", "at")).groupBy("row").agg(F.collect_list("at").alias("at"))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
-    """(doc_id, [keep,] n_words, n_removed, kept string): ``kept`` is the words left, joined by one blank.
+def short_keys(blob: bytes):
+    h5, _ = levels(text_of(blob))
+    at = stand_ins(h5, WINDOW - SHORT + 1)
+    return h5[at], at
 
-    ``keep`` names a long column, different in each row, that is returned too.  Texts travel compressed.
+
+def double_keys(blob: bytes, at: list[int]):
+    """Windows of 10 words that stand for the 20-word windows whose stand-in of 5 words repeats."""
+    h5, h10 = levels(text_of(blob))
+    at = stand_ins(h10, WINDOW - 2 * SHORT + 1, still(h5, WINDOW - SHORT + 1, at))
+    return h10[at], at
+
+
+@common.owned
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept string[, clean string, carried columns]): ``kept`` is the words left, joined by one blank.
+
+    ``clean`` is the text itself where no word goes, else ``kept``.  Texts travel compressed.
     """
     common.ship(docs.sparkSession)
-    number = F.col(keep).cast("long") if keep else F.monotonically_increasing_id()
-    raw = docs.select(number.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = common.cut(mapped(raw, lambda t: [t.column(0), t.column(1), pa.array(list(map(packed, t.column(2).to_pylist())), pa.binary())], "row long, doc_id long, blob binary", rows=512))
+    raw = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
+    kinds = "".join(f", carried_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    rows = common.cut(mapped(raw, lambda t: [t.column(0), t.column(1), pa.array(list(map(packed, t.column(2).to_pylist())), pa.binary()), *t.columns[3:]], "row long, doc_id long, blob binary" + kinds, rows=512))
+    blobs = rows.select("row", "doc_id", "blob")
 
     def windows_of(t):
         out = [[np.empty(0, d)] for d in (np.int64, np.int64, np.int64, np.int64, np.int32)]
         for row, doc, blob, at in columns(t, 0, 1, 2, 3):
-            h5, h10 = levels(words_of(blob))
-            flagged, at = np.full(len(h5), np.iinfo(np.uint64).max, np.uint64), np.array(at)
-            flagged[at] = h5[at]
-            s = np.flatnonzero(sliding_min(flagged) == sliding_min(h5))
+            _, h10 = levels(text_of(blob))
+            s = np.flatnonzero(still(h10, WINDOW - 2 * SHORT + 1, at))
             for o, c in zip(out, (h10[s].view(np.int64), h10[s + 10].view(np.int64), np.full(len(s), np.iinfo(np.int64).max if doc is None else doc, np.int64), np.full(len(s), row, np.int64), s.astype(np.int32))):
                 o.append(c)
         a, b, doc, row, start = map(np.concatenate, out)
@@ -196,10 +259,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
         return [a, b, doc, row, start, (~first).astype(np.int32)]  # a later window of the piece is settled: it goes
 
-    table, repeated = level_five(rows)
-    windows = common.cut(mapped(rows.join(repeated, "row").select("row", "doc_id", "blob", "at"), windows_of, "a long, b int, doc long, row long, start int, gone int"))
-    del repeated
-    common.sweep(docs.sparkSession, table)
+    table, short = repeated(blobs, short_keys)
+    longer, double_ = repeated(blobs.join(short, "row"), double_keys)
+    common.drop(table)
+    windows = common.cut(mapped(blobs.join(double_, "row"), windows_of, "a long, b int, doc long, row long, start int, gone int"))
+    common.drop(longer)
 
     def later(batches):
         def act(cols, starts, sizes):
@@ -213,15 +277,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     for turn in range(TURNS):
         sent = windows.filter(f"gone = 0 and pmod(b, {TURNS}) = {turn}").select("a", "b", "doc", "row", "start").repartition("a", "b").sortWithinPartitions("a", "b", "doc", "row", "start")
         lost = lost.union(common.cut(sent.mapInArrow(later, "row long, start int")))
-        del sent
-        common.sweep(docs.sparkSession)
-    common.sweep(docs.sparkSession, windows)
+    common.drop(windows)
     gone = lost.groupBy("row").agg(F.collect_list("start").alias("starts"))
 
     def last(t):
-        n_words, n_removed, kept = [], [], []
+        n_words, n_removed, kept, clean = [], [], [], []
         for blob, starts in columns(t, 2, 3):
-            words = words_of(blob)
+            text = text_of(blob)
+            words = text.split()
             n, left = len(words), words
             if starts:
                 s, change = np.array(starts), np.zeros(n + 1, np.int64)
@@ -232,10 +295,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             n_words.append(n)
             n_removed.append(n - len(left))
             kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
-        return [t.column(1), t.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
-
-    cleaned = mapped(rows.join(gone, "row", "left").select("row", "doc_id", "blob", "starts"), last, "doc_id long, row long, n_words long, n_removed long, kept string", rows=512)
-    return cleaned.withColumnRenamed("row", keep) if keep else cleaned.drop("row")
+            if carry:
+                clean.append(kept[-1] if n > len(left) else text.decode("utf-8", "surrogatepass"))
+        out = [t.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+        return out + ([pa.array(clean, pa.string()), *t.columns[4:]] if carry else [])
+
+    schema = "doc_id long, n_words long, n_removed long, kept string" + (", clean string" + kinds if carry else "")
+    cleaned = mapped(rows.join(gone, "row", "left").select("row", "doc_id", "blob", "starts", *(f"carried_{c}" for c in carry)), last, schema, rows=512)
+    return cleaned.withColumnsRenamed({f"carried_{c}": c for c in carry})
 
 
 def op9_substrings(spark, sf_dir: str) -> DataFrame:
