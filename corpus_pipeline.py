@@ -1,7 +1,8 @@
 """The corpus pipeline: toxic documents go, near copies go, repeated passages go, secrets are blanked, the rest is packed.
 
 ``STAGES`` are functions of (spark, docs, sf_dir); each works on all that the one before kept.  All but the last return the
-columns of documents.
+columns of documents, further columns of ``docs`` are not read.  A stage writes its result to a table of its own in the
+shared folder and deletes what it wrote on the way, so it depends on no other frame and disturbs none.
 """
 
 from __future__ import annotations
@@ -14,61 +15,63 @@ from pyspark.sql import functions as F
 from ferryline.llm import common, packing, secrets, simhash, substrings, toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _with_rows(docs: DataFrame) -> DataFrame:
-    """The documents with a number of their own, kept in the shared folder, so that repeated identifiers stay apart."""
-    return common.cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("number")))
+REST = ("lang", "source", "n_chars")
 
 
 def toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the neighbours call toxic go; labels of the held-out fold are not learned from."""
-    common.sweep_before(docs)
+    """Documents that the neighbours call toxic (score of 0.7 or more) go; labels of the held-out fold are not learned from.
+
+    Null and empty texts get the base rate and stay unless most labelled rows are toxic; repeated rows are judged each; without
+    labels all documents stay; an empty table gives an empty table.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    index = toxicity.learn(docs, labels.filter(F.coalesce(common.crc_mod(F.col("doc_id"), 3) != 1, F.lit(True))))
-    rows = _with_rows(docs)
-    scored = toxicity.score(rows.select(F.col("number").alias("doc_id"), "text"), index)
-    kept = scored.filter("score < 0.7").select(F.col("doc_id").alias("number"))
-    return rows.join(kept, "number", "left_semi").select(*COLUMNS)
+    with common.owning(spark) as own:
+        index = toxicity.learn(docs, labels.filter(F.coalesce(common.crc_mod(F.col("doc_id"), 3) != 1, F.lit(True))))
+        judged = toxicity.score(docs.select(F.lit(0).alias("doc_id"), "text", F.struct(*COLUMNS).alias("whole")), index, carry=("whole",))
+        return own.keep(judged.filter("score < 0.7").select("whole.*"))
 
 
 def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least identifier stays."""
-    common.sweep_before(docs)
-    rows = _with_rows(docs)
-    grouped = simhash.near_groups(rows.select(F.col("number").alias("doc_id"), "text"))
-    named = grouped.select(F.col("doc_id").alias("number"), "label").join(rows.select("number", "doc_id"), "number")
-    first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")).alias("f")).select(F.col("f.number").alias("number"))
-    return rows.join(first, "number", "left_semi").select(*COLUMNS)
+    """Of each group of near copies (four-word shingles, linked fingerprints of at most 4 differing bits) one document stays.
+
+    The least identifier stays, a null one last; of repeated rows one stays.  Null and blank texts are copies of each other.  An
+    empty table gives an empty table.
+    """
+    with common.owning(spark) as own:
+        rows = common.cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("number")))
+        grouped = simhash.near_groups(rows.select(F.col("number").alias("doc_id"), "text"))
+        named = grouped.select(F.col("doc_id").alias("number"), "label").join(rows.select("number", "doc_id"), "number")
+        first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")).alias("f")).select(F.col("f.number").alias("number"))
+        return own.keep(rows.join(first, "number", "left_semi").select(*COLUMNS))
 
 
 def repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of windows that occur earlier go; texts that lose none stay as they are, and no document goes."""
-    common.sweep_before(docs)
-    rows = _with_rows(docs)
-    order = rows.select(F.col("number").alias("row_number"), "doc_id", "text", "lang", "source", "n_chars")
-    cleaned = substrings.remove_repeats(order.select("doc_id", "text", "row_number"), keep="row_number")
-    changed = cleaned.filter("n_removed > 0").select("row_number", "kept")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.col("kept"))
-    joined = order.join(changed, "row_number", "left").withColumn("text", text)
-    return joined.select("doc_id", "text", "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")).alias("n_chars"))
+    """Words of 20-word windows that occur earlier go; texts that lose none stay as they are, and no document goes.
+
+    A text that loses words is the words left, joined by one blank, and its ``n_chars`` is counted anew.  Null texts stay null;
+    null identifiers come last in the order; an empty table gives an empty table.
+    """
+    with common.owning(spark) as own:
+        cleaned = substrings.remove_repeats(docs.select("doc_id", "text", F.struct(*REST, F.col("text").isNull().alias("none")).alias("rest")), carry=("rest",))
+        text = F.when(F.col("rest.none"), F.lit(None).cast("string")).otherwise(F.col("clean"))
+        n = F.when(F.col("n_removed") > 0, F.length("clean").cast("long")).otherwise(F.col("rest.n_chars"))
+        return own.keep(cleaned.select("doc_id", text.alias("text"), "rest.lang", "rest.source", n.alias("n_chars")))
 
 
 def secret_scan(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found secrets are overwritten with a mark of their kind; no document goes."""
-    common.sweep_before(docs)
-    rows = _with_rows(docs)
-    found = secrets.scan(rows.select(F.col("number").alias("doc_id"), "text")).select(F.col("doc_id").alias("number"), F.array_sort(F.concat("base", "extra")).alias("spans")).filter("size(spans) > 0")
-    blank = F.expr("""aggregate(spans, named_struct('at', 0, 'out', ''),
-        (a, s) -> if(s.start < a.at, named_struct('at', greatest(a.at, s.end), 'out', a.out),
-                     named_struct('at', s.end, 'out', concat(a.out, substring(text, a.at + 1, s.start - a.at), '[secret]'))),
-        a -> concat(a.out, substring(text, a.at + 1)))""")
-    joined = rows.join(found, "number", "left").withColumn("clean", F.when(F.col("spans").isNull(), F.col("text")).otherwise(blank))
-    n = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("clean").cast("long"))
-    return joined.select("doc_id", F.col("clean").alias("text"), "lang", "source", n.alias("n_chars"))
+    """Secrets found, linked weak parts included, are overwritten with a mark; no document goes, other texts stay as they are.
+
+    Overlapping spans are one mark.  Null texts stay null; repeated rows are scanned each; an empty table gives an empty table.
+    """
+    with common.owning(spark) as own:
+        found = secrets.scan(docs, carry=COLUMNS[1:], wide=True)
+        spans = F.array_sort(F.concat("base", "extra"))
+        return own.keep(found.select("doc_id", secrets.blanked(F.col("text"), spans, "[secret]").alias("text"), "lang", "source", "n_chars", spans.alias("spans")).select(
+            "doc_id", "text", "lang", "source", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")))
 
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 tokens, as ``packing.pack`` defines them for null, empty and long texts."""
     import public_tokenizers as P
 
     return packing.pack(docs, P.path("word_bpe_49k.json"))
@@ -82,6 +85,8 @@ def run(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = f"{common.shared_folder(spark).rstrip('/')}/pipeline/{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        done = stage(spark, docs, sf_dir)
+        done.write.parquet(path)
+        common.release(done)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
