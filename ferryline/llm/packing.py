@@ -16,9 +16,11 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,10 @@ FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 #: Words that the pattern of such tokenizers cuts into one run of letters and at most one run of signs.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
-#: A sign between a letter and white space is a run of its own; parted from its word, it makes fewer different words.
-CLOSING = re.compile(rb"([.,])(?<=[a-z].)(?=[ \n])").sub
+#: Signs between a letter and white space are a run of their own; parted from their word, they make fewer different words.
+SIGNS = ".,;:!?$&%#*+"
+CLOSING = r"([a-zß-öø-ÿ])([" + SIGNS + r"]+)([ \n])"
+LETTERS = r"^[a-zß-öø-ÿ]+$"
 
 
 class WordTokenizer:
@@ -53,6 +57,8 @@ class WordTokenizer:
         for token, i in self.tokenizer.get_vocab().items():
             self.closes[i] = bool(suffix) and token.endswith(suffix)
         self.bare = self._bare(path) if suffix else None
+        parted = [self.tokenizer.encode(f"a{gap}{sign} é{gap}{sign * 3} b", add_special_tokens=False).ids for sign in (*SIGNS, SIGNS) for gap in ("", " ")]
+        self.parts_signs = parted[::2] == parted[1::2]
 
     def _bare(self, path: str):
         """The same model for lower-case words parted by blanks, without the normaliser; None unless it agrees on a probe."""
@@ -68,11 +74,13 @@ class WordTokenizer:
         return bare if same else None
 
     def learn(self, words: list[bytes]) -> None:
-        single, plain, parts, letters = [], [], [], []
+        single, plain, parts = [], [], []
         if self.bare:
-            letters = [w for w in words if w.isalpha()]  # of bytes: ASCII letters alone, one run each
-            words = [w for w in words if not w.isalpha()]
-            single += self._runs(letters, [b" ".join(letters[i : i + 1024]).decode().lower() for i in range(0, len(letters), 1024)], None)
+            text = pa.array(words, pa.large_binary()).cast(pa.large_string())
+            alone = pc.match_substring_regex(text, LETTERS).to_numpy(zero_copy_only=False).tolist()
+            letters = list(compress(words, alone))
+            words = [w for w, a in zip(words, alone) if not a]
+            single += self._runs(letters, [b" ".join(letters[i : i + 1024]).decode() for i in range(0, len(letters), 1024)], None)
         for w in words:
             if self.bare and (m := PLAIN(text := w.decode("utf-8", "replace"))):
                 plain.append(w)
@@ -98,30 +106,37 @@ class WordTokenizer:
             self.memo.young.update(zip(part, [packed[a:b] for a, b in zip([0, *stops], stops)]))
         return left
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of each text, its end included."""
-        out, waiting, n = [], [], 0
-        for text in [*texts, None]:
-            raw = common.utf8(text)
-            words = CLOSING(rb" \1", raw if b"<|" in raw else raw.lower()).split()  # special tokens are told by case
-            if waiting and (len(out) + len(waiting) == len(texts) or n + len(words) > self.memo.size):
-                if fresh := self.memo.unknown(set().union(*waiting)):
-                    self.learn(fresh)
-                known = self.memo.young.__getitem__
-                out += [b"".join(map(known, w)) + self.end for w in waiting]
-                waiting, n = [], 0
-            if len(words) > self.memo.size:
-                pieces = [self._piece(words[i : i + self.memo.size]) for i in range(0, len(words), self.memo.size)]
-                out.append(b"".join(pieces) + self.end)
-                continue
-            waiting.append(words)
-            n += len(words)
-        return out
-
-    def _piece(self, words: list[bytes]) -> bytes:
-        if fresh := self.memo.unknown(set(words)):
-            self.learn(fresh)
-        return b"".join(map(self.memo.young.__getitem__, words))
+    def ids(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Packed ids of each text, its end included.
+
+        A batch is lower-cased, cut into words and reduced to its distinct words by Arrow kernels; only distinct words meet the
+        memo, and their packed ids are gathered back in order of the words.
+        """
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if not len(texts):
+            return []
+        texts = pc.fill_null(texts, "").take(pa.array(range(len(texts))))  # a copy: kernels are not to meet a slice's offset
+        marked = pc.match_substring(texts, "<|")  # special tokens are told by case
+        lowered = pc.ascii_lower(texts)
+        texts = pc.if_else(marked, texts, lowered) if pc.any(marked).as_py() else lowered
+        if self.parts_signs:
+            texts = pc.replace_substring_regex(texts, pattern=CLOSING, replacement=r"\1 \2\3")
+        lists = pc.ascii_split_whitespace(texts)
+        first = lists.offsets.to_numpy()
+        words = lists.values.slice(first[0], first[-1] - first[0]).cast(pa.large_binary())
+        coded, ends = [], [np.zeros(1, np.int64)]
+        for start in range(0, len(words), self.memo.size):
+            part = words.slice(start, self.memo.size).dictionary_encode()
+            distinct = part.dictionary.to_pylist()
+            if fresh := self.memo.unknown(set(distinct)):
+                self.learn(fresh)
+            taken = pa.array(list(map(self.memo.young.__getitem__, distinct)), pa.large_binary()).take(part.indices)
+            at = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)
+            coded.append(memoryview(taken.buffers()[2] or b"")[at[0] : at[-1]])
+            ends.append(at[1:] - at[0] + ends[-1][-1])
+        whole = coded[0] if len(coded) == 1 else memoryview(b"".join(coded))
+        cuts = np.concatenate(ends)[first - first[0]].tolist()
+        return [bytes(whole[a:b]) + self.end for a, b in zip(cuts, cuts[1:])]
 
 
 class Window:
@@ -245,9 +260,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, capacity: int
                 sequence += 1
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                for doc, ids in zip(part.column(0).to_pylist(), tokenizer.ids(part.column(1).to_pylist())):
+            for part in common.portions(batch, 1):
+                for doc, ids in zip(part.column(0).to_pylist(), tokenizer.ids(part.column(1))):
                     emit(packer.take(doc, ids))
                     if len(rows) >= 4096:
                         yield table()
