@@ -230,8 +230,9 @@ def switched_on(value: Column) -> Column:
 
 
 def unsigned32(value: Column) -> Column:
-    n = F.trim(value.cast("string")).try_cast("decimal(38,0)")
-    return F.when(n.between(0, 2**32 - 1), n.cast("long"))
+    digits = F.trim(value.cast("string"))
+    n = F.when(digits.rlike(r"^\d{1,18}$"), digits.cast("long"))
+    return F.when(n <= 2**32 - 1, n)
 
 
 def effective_zone(zone: Column, system: Column) -> Column:

@@ -97,3 +97,12 @@ def verify(spark: SparkSession, source: Tables, dest: Tables, mode: str, *, keys
         raise Incompatible(f"incompatible_for_v1_{'sample' if mode == 'sample' else 'deterministic_hash'}: {', '.join('.'.join(n) for n in missing)} without a stable key")
     risks = risks if risks is not None else spark.createDataFrame([], "database string, `table` string, notes array<string>")
     return digest_differences(digests(spark, source, keys, mode, **options), digests(spark, dest, keys, mode, **options), risks)
+
+
+def row_differences(source: DataFrame, dest: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kind) of rows on one side only, or whose content differs."""
+    from ..functions.canonical import row_digest
+
+    side = lambda df, n: df.select(*keys, row_digest(df).alias(n))
+    kind = F.when(F.col("d").isNull(), "missing_in_destination").when(F.col("s").isNull(), "missing_in_source").when(F.col("s") != F.col("d"), "content_mismatch")
+    return side(source, "s").join(side(dest, "d"), keys, "full_outer").withColumn("kind", kind).filter("kind is not null").select(*keys, "kind")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import catalog as cat
-from ..operators import compat, graph, objects, prechecks, schema_diff, triggerlog
+from ..operators import compat, graph, objects, prechecks, schema_diff, triggerlog, verify
 from ..operators.catalog import Catalog
 from .golden import rows
 
@@ -161,6 +161,11 @@ QUERIES = {
     "missing_triggers": S(lambda s, sc: triggerlog.missing_triggers(s, sc).filter("database = 'shop' and `table` in ('users', 'orders')")),
     "trigger_statements": S(lambda s, sc: triggerlog.setup_statements(s, sc).filter("`table` = 'b'").select("event", "statement")),
     "trigger_teardown": S(lambda s, sc: triggerlog.teardown_statements(s, sc).groupBy("database").agg(F.count("*").alias("n"), F.max_by("statement", "statement").alias("last"))),
+    "representation_risk": on(lambda s, d: prechecks.sensitive_tables(s, scope(s)).drop("database")),
+    "verify_noise_risk": on(lambda s, d: verify.table_risks(s.columns.select("database", "table", "data_type", "collation")).drop("database").withColumn("notes", F.size("notes"))),
+    "timezone_mix": on(lambda s, d: prechecks.temporal_tables(s, scope(s)).drop("database")),
+    "union_of_databases": on(lambda s, d: verify.union_of_names(s.databases.select("database"), d.databases.select(F.concat(F.lit(" "), "database", F.lit(" "))), d.databases.select(F.lit(" ")))),
+    "destination_empty": on(lambda s, d: s.spark.createDataFrame([("source", objects.destination_empty(s)), ("nothing", objects.destination_empty(Catalog(s.spark))), ("excluded", objects.destination_empty(d, ["shop"]))], "name string, empty boolean")),
     "precheck_zero_date": check("zero-date"),
     "precheck_plugins": check("plugin-lifecycle"),
     "precheck_invisible": check("invisible-gipk"),
@@ -220,6 +225,11 @@ SQL = {
         ("update", "CREATE TRIGGER `__ferryline_update_b` AFTER UPDATE ON `crm`.`b` FOR EACH ROW INSERT INTO `crm`.`__ferryline_change_log` (table_name, operation, old_row_json, new_row_json) VALUES ('b', 'update', JSON_OBJECT('id', OLD.`id`), JSON_OBJECT('id', NEW.`id`))"),
         ("delete", "CREATE TRIGGER `__ferryline_delete_b` AFTER DELETE ON `crm`.`b` FOR EACH ROW INSERT INTO `crm`.`__ferryline_change_log` (table_name, operation, old_row_json, new_row_json) VALUES ('b', 'delete', JSON_OBJECT('id', OLD.`id`), NULL)")),
     "trigger_teardown": rows('"database", n BIGINT, "last"', ("crm", 10, "DROP TRIGGER IF EXISTS `crm`.`__ferryline_update_c`"), ("shop", 13, "DROP TRIGGER IF EXISTS `shop`.`__ferryline_update_users`")),
+    "representation_risk": rows('"table", approximate BIGINT, temporal BIGINT, "json" BIGINT, collated BIGINT', ("users", 0, 0, 1, 1), ("orders", 0, 2, 0, 0), ("Log", 1, 0, 0, 1), ("c", 0, 1, 0, 0)),
+    "verify_noise_risk": rows('"table", approximate_numeric_columns BIGINT, temporal_columns BIGINT, json_columns BIGINT, collation_sensitive_columns BIGINT, notes INTEGER', ("users", 0, 1, 1, 1, 3), ("orders", 0, 2, 0, 0, 1), ("Log", 1, 0, 0, 1, 2), ("c", 0, 1, 0, 0, 1)),
+    "timezone_mix": rows('"table", timestamps BIGINT, datetimes BIGINT', ("orders", 1, 1), ("c", 1, 0)),
+    "union_of_databases": rows("name", ("CRM",), ("crm",), ("mysql",), ("shop",), ("sys",)),
+    "destination_empty": rows("name, empty", ("source", False), ("nothing", True), ("excluded", True)),
     "precheck_zero_date": told(("zero_date_defaults_incompatible", "error", 1), ("zero_date_default_column", "error", 2)),
     "precheck_plugins": told(("destination_no_engine_substitution_disabled", "warn", 1), ("destination_default_auth_plugin_variable_unavailable", "warn", 1), ("unsupported_auth_plugins_detected", "warn", 1), ("unsupported_auth_plugin_account", "warn", 3), ("unsupported_storage_engines_detected", "error", 1), ("unsupported_storage_engine_table", "error", 2)),
     "precheck_invisible": told(("source_show_gipk_disabled", "warn", 1), ("invisible_gipk_features_detected", "error", 1), ("invisible_column_detected", "error", 1), ("invisible_index_detected", "error", 1), ("generated_invisible_primary_key_detected", "error", 1)),

@@ -1,16 +1,9 @@
-"""Every query of the reconciliation and migration engine by name, with the text an independent engine runs."""
+"""Every query of the engine by name, with the text an independent engine runs to check it."""
 
 from __future__ import annotations
 
-from .plans import catalog, changes, reconcile
-from .plans.dialect import Duck, Spark
+from .plans import checks, copies, log, texts, verification
 
-PLANS = {**reconcile.QUERIES, **catalog.QUERIES, **changes.QUERIES}
-
-
-def run(name: str):
-    return lambda spark, sf_dir: spark.sql(PLANS[name](Spark(sf_dir)))
-
-
-QUERIES = {name: run(name) for name in PLANS}
-SQL = {name: plan(Duck()) for name, plan in PLANS.items()}
+MODULES = (verification, checks, log, copies, texts)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import socket
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 from urllib.parse import parse_qsl, quote, unquote, urlsplit
 
@@ -87,6 +87,7 @@ def with_tls(target: Target, mode: str, ca_file: str = "", cert_file: str = "",
     mode, files = mode.strip().lower(), [f.strip() for f in (ca_file, cert_file, key_file)]
     if not mode:
         return target
+    target = replace(target, params=dict(target.params))
     if mode == "disabled":
         if any(files):
             raise ValueError("tls-mode=disabled cannot be used with --ca-file/--cert-file/--key-file")
