@@ -98,7 +98,8 @@ def owning(spark: SparkSession):
     own = Tables(spark) if outer is None else outer
     token = _OWNER.set(own)
     try:
-        yield own
+        with tidy_shuffles(spark):
+            yield own
     except BaseException:
         if outer is None:
             own.drop()

@@ -78,22 +78,23 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)
 
 
-def build(examples: list[tuple[str, int]], support=None, names: list[int] | None = None):
+def build(examples, support=None, names: list[int] | None = None):
     """Index of labelled texts: words with weights, block maxima, postings by block and term.
 
     ``names`` are the identifiers of the examples, their numbers by default.  ``support`` takes the words with their numbers and returns, for each, how many clean and toxic labelled texts and how many
     documents hold it, with the totals of these three as the last row; by default the examples are all there is.
     """
     number: dict[str, int] = {}
-    terms, of, tf = array("i"), array("i"), array("d")
-    for i, (text, _) in enumerate(examples):
+    terms, of, tf, classes = array("i"), array("i"), array("i"), array("b")
+    for i, (text, label) in enumerate(examples):  # taken one by one: texts need not all be there at once
+        classes.append(label)
         for w, c in Counter(WORD(text.lower())).items():
             terms.append(number.setdefault(w, len(number)))
             of.append(i)
             tf.append(c)
-    n, y = len(examples), np.array([t for _, t in examples], np.int64)
-    t, e, v = np.array(terms, np.int64), np.array(of, np.int64), 1 + np.log(np.array(tf))
-    del terms, of, tf
+    n, y = len(classes), np.array(classes, np.int64)
+    t, e, v = np.frombuffer(terms, np.int32), np.frombuffer(of, np.int32), 1 + np.log(np.frombuffer(tf, np.int32)) if n and len(tf) else np.zeros(0)
+    del tf
     if support is None:
         held = np.stack([np.bincount(t[y[e] == c], minlength=len(number)) for c in (0, 1)], 1)
         counts = np.r_[np.c_[held, held.sum(1)], [[n - y.sum(), y.sum(), n]]]
@@ -106,16 +107,19 @@ def build(examples: list[tuple[str, int]], support=None, names: list[int] | None
     norm = np.sqrt(np.bincount(e, v * v, n))
     good = v > 1e-9
     t, e, v = t[good], e[good], v[good] / norm[e[good]]
-    by = np.argsort(v, kind="stable")
+    del terms, of, good
     heaviest = np.full(n, -1)
-    heaviest[e[by]] = t[by]
+    top = np.zeros(n)
+    np.maximum.at(top, e, v)
+    m = v == top[e]
+    np.maximum.at(heaviest, e[m], t[m])
     order = np.lexsort((np.arange(n), heaviest))
     order = order[heaviest[order] >= 0]
-    place = np.zeros(n, np.int64)
-    place[order] = np.arange(len(order))
+    place = np.zeros(n, np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
     e, y_of = place[e], y[order]
     frequent = np.argsort(-np.bincount(t, minlength=len(number)), kind="stable")[:DENSE]
-    row = np.full(len(number), -1)
+    row = np.full(len(number), -1, np.int32)
     row[frequent] = np.arange(len(frequent))
     dense, m = np.zeros((len(frequent), len(order))), row[t] >= 0
     dense[row[t[m]], e[m]] = v[m]
@@ -125,7 +129,7 @@ def build(examples: list[tuple[str, int]], support=None, names: list[int] | None
     first = np.flatnonzero(np.r_[True, (np.diff(t) != 0) | (np.diff(e // BLOCK) != 0)]) if len(t) else np.zeros(0, np.int64)
     index = {
         "name": np.array(range(n) if names is None else names, np.int64)[order], "curve": (1.0, 0.0),
-        "number": number, "idf": idf, "weight": weight, "y": y_of, "row": row, "dense": dense, "of": e.astype(np.int32), "value": v,
+        "number": number, "weight": weight, "y": y_of, "row": row, "dense": dense, "of": e.astype(np.int32), "value": v,
         "post": np.searchsorted(t, np.arange(len(number) + 1)), "at": np.searchsorted(t[first], np.arange(len(number) + 1)), "block": (e[first] // BLOCK).astype(np.int16), "first": first.astype(np.int32),
         "length": np.diff(np.r_[first, len(t)]).astype(np.int8), "maxima": np.maximum.reduceat(v, first) if len(t) else v,
         "stands_for": totals[:2] / np.maximum([(y == c).sum() for c in (0, 1)], 1), "rate": totals[1] / max(totals[0] + totals[1], 1),
@@ -287,7 +291,7 @@ def count_words(texts: DataFrame, number: dict[str, int]) -> np.ndarray:
     out = np.zeros((len(number) + 1, 3), np.int64)
     for c in range(3):
         out[summed.column(0).to_numpy(), c] = summed.column(c + 1).to_numpy()
-    shared.unpersist()
+    shared.destroy()
     return out
 
 
@@ -311,14 +315,27 @@ def _learn(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: str, t
     drawn = [labelled.filter(F.col("y") == y).select("id", "y").orderBy(F.xxhash64("id"), "id").limit(quota[y]) for y in (0, 1)]
     # at most max_examples rows of two numbers; repeated labels are counted, not joined twice
     chosen = F.broadcast(common.cut(drawn[0].unionByName(drawn[1]).groupBy("id", "y").agg(F.count("*").cast("int").alias("times"))))
-    rows = labelled.dropDuplicates(["id", "y"]).join(chosen, ["id", "y"]).select("id", "y", "times", "text").orderBy("id", "y").collect()
     kinds = labelled.select(F.col("y").alias("kind"), "text").unionByName(texts.select(F.lit(2).alias("kind"), "text"))
-    each = [r for r in rows for _ in range(r.times)]
-    index = build([(r.text, r.y) for r in each], lambda number: count_words(kinds, number), [r.id for r in each])
-    text_of = {(r.id, r.y): r.text for r in rows}
-    by_class = [np.flatnonzero(index["y"] == y) for y in (0, 1)]
-    drawn = [m[np.linspace(0, len(m) - 1, min(len(m), CALIBRATE)).astype(int)] for m in by_class if len(m)]
-    index["curve"] = calibrate(index, [(text_of[int(index["name"][i]), int(index["y"][i])], int(i)) for i in np.concatenate(drawn or [np.zeros(0, int)])])
+    rows = labelled.dropDuplicates(["id", "y"]).join(chosen, ["id", "y"]).select("id", "y", "times", "text").orderBy("id", "y").toArrow()
+    ids, ys, times = (rows.column(i).to_numpy() for i in range(3))
+    held = [rows.column(3)]  # texts stay packed, and go once they are read
+    kept = {}
+    for y in (0, 1):
+        own = np.flatnonzero(ys == y)
+        kept.update(((int(ids[i]), y), held[0][int(i)].as_py()) for i in own[np.linspace(0, len(own) - 1, min(len(own), CALIBRATE)).astype(int)])
+    names = np.repeat(ids, times).tolist()
+    del rows
+
+    def each():
+        for text, y, n in zip(held.pop(), ys.tolist(), times.tolist()):
+            text = text.as_py()
+            for _ in range(n):
+                yield text, y
+
+    index = build(each(), lambda number: count_words(kinds, number), names)
+    common.drop(labelled, chosen)
+    at = {(int(name), int(y)): i for i, (name, y) in enumerate(zip(index["name"], index["y"]))}
+    index["curve"] = calibrate(index, [(text, at[who]) for who, text in kept.items() if who in at])
     return index
 
 

@@ -173,7 +173,7 @@ def test_toxic_neighbours_are_exact():
     full = np.concatenate([m.T for m, _ in index["blocks"]])
     q = np.zeros(len(index["number"]))
     for w in bad:
-        q[index["number"][w]] = index["idf"][index["number"][w]]
+        q[index["number"][w]] = index["weight"][index["number"][w]]
     q /= np.linalg.norm(q)
     s, _, _, opened = toxicity.neighbours(index, q)
     assert np.allclose(s, np.sort(full @ q)[::-1][: len(s)]) and opened >= 1
