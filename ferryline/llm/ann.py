@@ -129,7 +129,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     for dim, at, x in matrices(drawn, "v"):
         x = np.unique(x / np.linalg.norm(x, axis=1, keepdims=True), axis=0)
         models[dim] = learn(x, n * len(at) // len(drawn), k, target)
-    shared = spark.sparkContext.broadcast(models)
+    shared = common.broadcast(spark, models)
 
     def homes(batches):
         for batch in batches:
@@ -140,7 +140,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     counted = placed.filter(F.col("dim").isin(list(models))).groupBy("dim", "part").count()
     sizes = {(r["dim"], r["part"]): r["count"] for r in counted.collect()} if models else {}
     salts = spark.createDataFrame([(d, p, -(-c // GROUP_ROWS)) for (d, p), c in sizes.items()], "dim int, part int, salts int")
-    held = spark.sparkContext.broadcast({d: np.array([sizes.get((d, p), 0) for p in range(m[0].shape[1])]) for d, m in models.items()})
+    held = common.broadcast(spark, {d: np.array([sizes.get((d, p), 0) for p in range(m[0].shape[1])]) for d, m in models.items()})
 
     def probes(batches):
         def take(z, dim):

@@ -58,7 +58,13 @@ class Tables:
     """Folders that ``cut`` wrote for one call.  The frame that the call returns carries them; nobody else deletes them."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.shared = spark, [], []
+
+    def forget(self) -> None:
+        """Destroy the broadcasts of this owner, on all machines."""
+        for b in self.shared:
+            b.destroy()
+        self.shared = []
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete the tables of this owner that ``frames`` read; without frames, all."""
@@ -83,6 +89,7 @@ class Tables:
         out = cut(df)
         kept, self.paths = self.paths, before
         self.drop()
+        self.forget()
         self.paths = kept
         out.tables = self
         return out
@@ -128,10 +135,19 @@ def drop(*frames: DataFrame) -> None:
         own.drop(*frames)
 
 
+def broadcast(spark: SparkSession, value):
+    """A broadcast that goes with the tables of the running call."""
+    shared = spark.sparkContext.broadcast(value)
+    if own := _OWNER.get():
+        own.shared.append(shared)
+    return shared
+
+
 def release(df: DataFrame) -> None:
-    """Delete the tables that ``df`` owns, once it and what was made from it are not read any more."""
+    """Delete the tables and broadcasts that ``df`` owns, once it and what was made from it are not read any more."""
     if tables := df.__dict__.get("tables"):
         tables.drop()
+        tables.forget()
 
 
 @contextmanager

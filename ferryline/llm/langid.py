@@ -148,7 +148,7 @@ class Model:
 def against(rows: DataFrame, shard, bits: int) -> DataFrame:
     """(row, doc_id, letters, lang, best, more): each text's likeliest language of a shard, its log-probability, and the sum of
     the probabilities of all languages of the shard relative to it."""
-    shared = rows.sparkSession.sparkContext.broadcast(shard)
+    shared = common.broadcast(rows.sparkSession, shard)
 
     def run(batches):
         languages, logp, prior = shared.value

@@ -1,11 +1,12 @@
 """Exact removal of repeated passages by level-wise doubling.
 
-Windows of 5 words are hashed; of the 16 in a 20-word window the one with the least hash stands for it, so equal windows
-have equal stand-ins and a stand-in that occurs once rules its windows out.  Windows whose stand-in of 5 words repeats, and no
-others, are extended to 10 words: of their 11 windows of 10 words again the least stands for them and must repeat.  Windows left
-are extended to 20 words; of equal windows of 20 words the first in (document, start) stays, and the words the others cover
-go.  Each level sends only keys that survived the one before.  Hashes of one level are summed up before the shuffle, so a
-passage in very many documents is no bottleneck; a final window is told by 95 bits of hash over its two halves.
+Windows of 10 words are hashed; of the 11 in a 20-word window the one with the least hash stands for it, so equal windows
+have equal stand-ins and a stand-in that occurs once rules its windows out.  Windows whose stand-in repeats, and no others, are
+extended to twice the length, 20 words; of equal windows of 20 words the first in (document, start) stays, and the words the
+others cover go.  The second level sends only what survived the first.  Levels start at 10 words, not at 5, as windows of 5
+words repeat by chance, which grows with the square of the input and at scale rules nothing out.  Hashes of a level are summed
+up before the shuffle, so a passage in very many documents is no bottleneck; a final window is told by 95 bits of hash over its
+two halves.
 
 Words are hashed over all bytes of a text at once: a word's polynomial in its bytes is the difference of two prefix sums.
 Words over ``LONG`` bytes, where such sums modulo 2**64 can be made to agree, are hashed one at a time.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, SHORT = 20, 5
+WINDOW, HALF = 20, 10
 TURNS = 4  # the windows that survive are exchanged in so many turns, each of which frees its shuffle files
 LONG, PIECE = 64, 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -78,22 +79,16 @@ def word_hashes(text: bytes) -> np.ndarray:
     return h
 
 
-def double(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of windows of 2n words from those of n words."""
-    return common.mix64(h[:-n] * _M + h[n:]) if len(h) > n else np.empty(0, np.uint64)
-
-
-def levels(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of 5 and of 10 words."""
+def windows(text: bytes) -> np.ndarray:
+    """Hashes of the windows of ``HALF`` words."""
     w = word_hashes(text)
-    n = len(w) - SHORT + 1
+    n = len(w) - HALF + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return np.empty(0, np.uint64)
     h = np.zeros(n, np.uint64)
-    for j in range(SHORT):
+    for j in range(HALF):
         h = h * _M + w[j : j + n]
-    h = common.mix64(h)
-    return h, double(h, SHORT)
+    return common.mix64(h)
 
 
 def sliding(h: np.ndarray, n: int, pick=np.minimum) -> np.ndarray:
@@ -106,13 +101,11 @@ def sliding(h: np.ndarray, n: int, pick=np.minimum) -> np.ndarray:
     return h
 
 
-def stand_ins(h: np.ndarray, n: int, candidate: np.ndarray | None = None) -> np.ndarray:
-    """Positions that stand for a window of ``n`` hashes, of those marked in ``candidate`` or of all."""
+def stand_ins(h: np.ndarray, n: int) -> np.ndarray:
+    """Positions that stand for a window of ``n`` hashes."""
     if len(h) < n:
         return np.empty(0, np.int64)
     least = sliding(h, n)
-    if candidate is not None:
-        least = np.where(candidate, least, 0)
     pad = np.zeros(n - 1, np.uint64)
     return np.flatnonzero((sliding(np.r_[pad, least, pad], n, np.maximum) == h) & (h != 0))
 
@@ -219,17 +212,11 @@ def repeated(rows: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
     return sent, across.union(sent.filter("n = 0").select("row", "at")).groupBy("row").agg(F.collect_list("at").alias("at"))
 
 
-def short_keys(blob: bytes):
-    h5, _ = levels(text_of(blob))
-    at = stand_ins(h5, WINDOW - SHORT + 1)
-    return h5[at], at
-
-
-def double_keys(blob: bytes, at: list[int]):
-    """Windows of 10 words that stand for the 20-word windows whose stand-in of 5 words repeats."""
-    h5, h10 = levels(text_of(blob))
-    at = stand_ins(h10, WINDOW - 2 * SHORT + 1, still(h5, WINDOW - SHORT + 1, at))
-    return h10[at], at
+def half_keys(blob: bytes):
+    """The windows of half the length that stand for the windows of a text."""
+    h = windows(text_of(blob))
+    at = stand_ins(h, WINDOW - HALF + 1)
+    return h[at], at
 
 
 @common.owned
@@ -247,9 +234,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def windows_of(t):
         out = [[np.empty(0, d)] for d in (np.int64, np.int64, np.int64, np.int64, np.int32)]
         for row, doc, blob, at in columns(t, 0, 1, 2, 3):
-            _, h10 = levels(text_of(blob))
-            s = np.flatnonzero(still(h10, WINDOW - 2 * SHORT + 1, at))
-            for o, c in zip(out, (h10[s].view(np.int64), h10[s + 10].view(np.int64), np.full(len(s), np.iinfo(np.int64).max if doc is None else doc, np.int64), np.full(len(s), row, np.int64), s.astype(np.int32))):
+            h = windows(text_of(blob))
+            s = np.flatnonzero(still(h, WINDOW - HALF + 1, at))
+            for o, c in zip(out, (h[s].view(np.int64), h[s + HALF].view(np.int64), np.full(len(s), np.iinfo(np.int64).max if doc is None else doc, np.int64), np.full(len(s), row, np.int64), s.astype(np.int32))):
                 o.append(c)
         a, b, doc, row, start = map(np.concatenate, out)
         h = a.view(np.uint64) * _M + b.view(np.uint64)  # 64 bits of both halves, and 32 more
@@ -259,11 +246,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
         return [a, b, doc, row, start, (~first).astype(np.int32)]  # a later window of the piece is settled: it goes
 
-    table, short = repeated(blobs, short_keys)
-    longer, double_ = repeated(blobs.join(short, "row"), double_keys)
+    table, halves = repeated(blobs, half_keys)
+    extended = common.cut(mapped(blobs.join(halves, "row"), windows_of, "a long, b int, doc long, row long, start int, gone int"))
     common.drop(table)
-    windows = common.cut(mapped(blobs.join(double_, "row"), windows_of, "a long, b int, doc long, row long, start int, gone int"))
-    common.drop(longer)
 
     def later(batches):
         def act(cols, starts, sizes):
@@ -273,11 +258,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
         return groups(batches, 2, act)
 
-    lost = common.cut(windows.filter("gone = 1").select("row", "start"))
+    lost = common.cut(extended.filter("gone = 1").select("row", "start"))
     for turn in range(TURNS):
-        sent = windows.filter(f"gone = 0 and pmod(b, {TURNS}) = {turn}").select("a", "b", "doc", "row", "start").repartition("a", "b").sortWithinPartitions("a", "b", "doc", "row", "start")
+        sent = extended.filter(f"gone = 0 and pmod(b, {TURNS}) = {turn}").select("a", "b", "doc", "row", "start").repartition("a", "b").sortWithinPartitions("a", "b", "doc", "row", "start")
         lost = lost.union(common.cut(sent.mapInArrow(later, "row long, start int")))
-    common.drop(windows)
+    common.drop(extended)
     gone = lost.groupBy("row").agg(F.collect_list("start").alias("starts"))
 
     def last(t):

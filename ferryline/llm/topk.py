@@ -132,7 +132,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     n = rows.count()
     blocks, groups = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n // every // GROUP_ROWS))
     drawn = rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample).toArrow()  # at most ``sample`` rows
-    shared = spark.sparkContext.broadcast({dim: (drawn["id"].to_numpy()[at], x) for dim, at, x in matrices(drawn, "v")})
+    shared = common.broadcast(spark, {dim: (drawn["id"].to_numpy()[at], x) for dim, at, x in matrices(drawn, "v")})
 
     def with_floors(batches):
         for batch in batches:

@@ -339,11 +339,12 @@ def _learn(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: str, t
     return index
 
 
+@common.owned
 def score(docs: DataFrame, index, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, score, evidence array<long>[, carried columns of ``docs``])."""
     spark = docs.sparkSession
     common.ship(spark)
-    shared = spark.sparkContext.broadcast(index)
+    shared = common.broadcast(spark, index)
     names = ["doc_id", "score", "evidence", *carry]
 
     def run(batches):
