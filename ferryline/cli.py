@@ -17,6 +17,7 @@ from .operators import changelog, compat, copying, objects, prechecks, report, s
 from .operators.digest import Incompatible
 from .sources import state
 from .sources.server import Server
+from .streaming.replicate import Stopped, ready
 
 OK, USAGE, DIFFERS, FAILED, VERIFY_FAILED = 0, 1, 2, 3, 4  # exit codes
 PLAIN_OBJECTS, ALL_OBJECTS = ("tables", "views"), ("tables", "views", "routines", "triggers", "events")
@@ -83,6 +84,12 @@ def plan(spark, cfg, args, rest) -> dict:
     verdict = compatible(spark, a, b, cfg)
     found = prechecks.plan(a.catalog(), b.catalog(), items(cfg.databases), items(cfg.exclude_databases)).collect()
     out = {"command": "plan", "compatible": verdict["compatible"] and all(f["severity"] != "error" for f in found), "requires_evidence": verdict["requires_evidence"], "findings": [f.asDict() for f in verdict["findings"]] + [f.asDict() for f in found]}
+    fixes = [r["fix"] for r in prechecks.fix_script(a.catalog(), a.scope(items(cfg.databases), items(cfg.exclude_databases))).collect()] if any(f["code"] == "zero_date_default_column" for f in found) else []
+    script = Path(cfg.state_dir) / "zero-date-fixes.sql"
+    if fixes:
+        state.write_private(str(script), "\n".join(fixes) + "\n")
+    else:
+        script.unlink(missing_ok=True)
     for name, check in (("collation-precheck", "collation"), ("plugin-lifecycle-precheck", "plugin-lifecycle"), ("invisible-gipk-precheck", "invisible-gipk")):
         state.save_artifact(cfg.state_dir, name, {"findings": [f.asDict() for f in found if f["precheck"] == check]})
     if not out["compatible"]:
@@ -181,7 +188,10 @@ def replicate_options(rest: list[str]) -> argparse.Namespace:
 def replicate(spark, cfg, args, rest) -> dict:
     """One bounded window of the source's log, judged and applied to the destination's tables; the checkpoint moves past what was applied."""
     o = replicate_options(rest)
+    if o.replication_mode != "binlog":
+        raise Differs(f"--replication-mode={o.replication_mode} needs a trigger log; run operators.triggerlog and operators.routing over it")
     a, b = sides(spark, cfg)
+    ready({n: a.catalog().setting(n) for n in ("log_bin", "binlog_format", "binlog_row_image")})
     with state.DirLock(cfg.state_dir):
         check = state.load_artifact(cfg.state_dir, "replication-checkpoint")
         asked = (o.start_file, o.start_pos) if o.start_file else None
@@ -189,13 +199,14 @@ def replicate(spark, cfg, args, rest) -> dict:
         events = a.events()
         end = copying.watermark(events).first()
         inside = changelog.window(events, start, (end["file"], end["pos"]))
+        breach = changelog.buffer_breach(inside).collect()
         columns = a.catalog().columns.groupBy("database", "table").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "column"))), lambda x: x["column"]).alias("all_columns"))
         from .operators.catalog import replay_keys
 
         keyed = changelog.with_keys(changelog.sequenced(inside), replay_keys(a.catalog()).join(columns, ["database", "table"]))
         stop = changelog.failures(keyed, ddl=o.apply_ddl)
         judged = changelog.gates(changelog.transactions(keyed, ddl=o.apply_ddl), max_events=o.max_events, max_lag_seconds=o.max_lag_seconds, now=F.unix_timestamp())
-        failed = stop.collect() or judged.filter("verdict not in ('apply', 'later')").select(F.col("verdict").alias("failure_type"), F.col("end_file").alias("file"), F.col("end_pos").alias("pos")).collect()
+        failed = breach or stop.collect() or judged.filter("verdict not in ('apply', 'later')").select(F.col("verdict").alias("failure_type"), F.col("end_file").alias("file"), F.col("end_pos").alias("pos")).collect()
         if failed:
             state.save_artifact(cfg.state_dir, "replication-conflict-report", failed[0].asDict() | {"applied_end_file": start[0], "applied_end_pos": start[1], "generated_at": state.now(), "values_redacted": True})
             raise Differs(failed[0]["failure_type"])
@@ -284,7 +295,7 @@ def main(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) ->
     except (Usage, json.JSONDecodeError, FileNotFoundError) as e:
         out.write(f"{e}\n")
         return USAGE
-    except (Differs, Incompatible) as e:
+    except (Differs, Incompatible, Stopped) as e:
         out.write(f"{e}\n")
         return DIFFERS
     except ValueError as e:

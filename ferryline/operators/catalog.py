@@ -112,3 +112,24 @@ def keyless_tables(catalog: Catalog, scope: DataFrame) -> DataFrame:
 def table_counts(catalog: Catalog, exclude: list[str] = ()) -> DataFrame:
     """(database, tables) of user databases: a destination is empty where there is no row."""
     return within(catalog.tables, selected(catalog.tables.select("database").distinct(), exclude=list(exclude))).groupBy("database").agg(F.count("*").alias("tables"))
+
+
+def primary_key_parts(constraints: DataFrame, usage: DataFrame) -> DataFrame:
+    """(database, table, column, ordinal) of primary keys, from (database, table, constraint, constraint_type) and key column usage
+    (database, table, constraint, column, ordinal); parts by number, not by the order of the text."""
+    on = ["database", "table", "constraint"]
+    keys = constraints.filter("constraint_type = 'PRIMARY KEY'").select(*on)
+    return usage.join(keys, on, "left_semi").select("database", "table", "column", F.col("ordinal").cast("int").alias("ordinal")).orderBy("database", "table", "ordinal")
+
+
+def fk_parts_of(referential: DataFrame, usage: DataFrame) -> DataFrame:
+    """The ``fk_parts`` frame from rules (database, table, constraint, update_rule, delete_rule) and key column usage with references."""
+    on = ["database", "table", "constraint"]
+    found = usage.filter("ref_table is not null").join(referential.select(*on, "update_rule", "delete_rule"), on)
+    return found.select(*on, F.col("ordinal").cast("int").alias("ordinal"), "column", "ref_database", "ref_table", "ref_column", "update_rule", "delete_rule")
+
+
+def settings_row(catalog: Catalog, *names: str) -> DataFrame:
+    """One row with a column for each of the settings named, null where the server lacks it."""
+    wide = catalog.settings.filter(F.lower("name").isin([n.lower() for n in names]))
+    return wide.agg(*(F.max(F.when(F.lower("name") == n.lower(), F.col("value"))).alias(n) for n in names))

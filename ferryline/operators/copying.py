@@ -35,6 +35,12 @@ def offset_page(df: DataFrame, keys: list[str], offset: int, rows: int) -> DataF
     return df.orderBy(*keys).offset(offset).limit(rows)
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """``df``, read from files, over the files that are there now: what is written to the folder later is not seen."""
+    files = df.inputFiles()
+    return df.sparkSession.read.schema(df.schema).parquet(*files) if files else df.limit(0)
+
+
 def cursor_of(df: DataFrame, keys: list[str]) -> tuple | None:
     """The greatest key that ``df`` holds, to resume from."""
     top = df.agg(F.max(F.struct(*keys)).alias("m")).first()["m"]

@@ -110,3 +110,29 @@ def apply_log(log: DataFrame, dest: dict[str, DataFrame], keys: dict[str, list[s
 def checkpoint(log: DataFrame) -> DataFrame:
     """(last_id, events) that a batch leads to; null where it is empty."""
     return log.agg(F.max("cdc_id").alias("last_id"), F.count("*").alias("events"))
+
+
+def run(logs: dict[str, DataFrame], dest: dict[str, dict[str, DataFrame]], keys: dict[str, dict[str, list[str]]], checkpoints: dict[str, int], policy: str, *, write, save, purge=None, limit: int = BATCH, **scope) -> dict[str, int]:
+    """One batch of each database's log: apply, ``write(database, table, frame)`` what changed, ``save`` the checkpoint, then ``purge``
+    what it covers.  A purge that fails is told in the log and does not fail the run.  Events applied by database."""
+    import logging
+
+    done = {}
+    for database in sorted(logs):
+        batch = after(logs[database], checkpoints.get(database, 0), limit)
+        last = checkpoint(batch).first()
+        done[database] = last["events"]
+        if not last["events"]:
+            continue
+        named = {r["table_name"] for r in batch.select("table_name").distinct().collect()}  # at most ``limit`` rows
+        tables = {t: df for t, df in dest[database].items() if t in named}
+        for table, frame in apply_log(batch, tables, keys.get(database, {}), policy, **scope).items():
+            write(database, table, frame)
+        checkpoints[database] = last["last_id"]
+        save(checkpoints)
+        if purge is not None:
+            try:
+                purge(database, last["last_id"])
+            except Exception as e:  # noqa: BLE001  what stays is skipped by the checkpoint
+                logging.getLogger("ferryline").warning("purge of %s failed: %s", database, e)
+    return done

@@ -161,6 +161,9 @@ QUERIES = {
     "missing_triggers": S(lambda s, sc: triggerlog.missing_triggers(s, sc).filter("database = 'shop' and `table` in ('users', 'orders')")),
     "trigger_statements": S(lambda s, sc: triggerlog.setup_statements(s, sc).filter("`table` = 'b'").select("event", "statement")),
     "trigger_teardown": S(lambda s, sc: triggerlog.teardown_statements(s, sc).groupBy("database").agg(F.count("*").alias("n"), F.max_by("statement", "statement").alias("last"))),
+    "primary_key_parts": lambda spark, sf_dir: cat.primary_key_parts(spark.createDataFrame([("d", "t", "PRIMARY", "PRIMARY KEY"), ("d", "t", "u", "UNIQUE")], "database string, `table` string, `constraint` string, constraint_type string"), spark.createDataFrame([("d", "t", "PRIMARY", "b", "10"), ("d", "t", "PRIMARY", "a", "9"), ("d", "t", "u", "c", "1"), ("e", "t", "PRIMARY", "x", "1")], "database string, `table` string, `constraint` string, `column` string, ordinal string")),
+    "fk_parts": lambda spark, sf_dir: cat.fk_parts_of(spark.createDataFrame([("d", "t", "f", "CASCADE", "SET NULL"), ("d", "s", "g", "CASCADE", "CASCADE")], "database string, `table` string, `constraint` string, update_rule string, delete_rule string"), spark.createDataFrame([("d", "t", "f", "a", 1, "d", "p", "id"), ("d", "t", "f", "b", 2, "d", "p", "no"), ("d", "t", "PRIMARY", "a", 1, None, None, None)], "database string, `table` string, `constraint` string, `column` string, ordinal int, ref_database string, ref_table string, ref_column string")).select("constraint", "ordinal", "column", "ref_table", "ref_column", "update_rule", "delete_rule"),
+    "settings_row": on(lambda s, d: cat.settings_row(s, "Version", "log_bin", "nothing")),
     "representation_risk": on(lambda s, d: prechecks.sensitive_tables(s, scope(s)).drop("database")),
     "verify_noise_risk": on(lambda s, d: verify.table_risks(s.columns.select("database", "table", "data_type", "collation")).drop("database").withColumn("notes", F.size("notes"))),
     "timezone_mix": on(lambda s, d: prechecks.temporal_tables(s, scope(s)).drop("database")),
@@ -225,6 +228,9 @@ SQL = {
         ("update", "CREATE TRIGGER `__ferryline_update_b` AFTER UPDATE ON `crm`.`b` FOR EACH ROW INSERT INTO `crm`.`__ferryline_change_log` (table_name, operation, old_row_json, new_row_json) VALUES ('b', 'update', JSON_OBJECT('id', OLD.`id`), JSON_OBJECT('id', NEW.`id`))"),
         ("delete", "CREATE TRIGGER `__ferryline_delete_b` AFTER DELETE ON `crm`.`b` FOR EACH ROW INSERT INTO `crm`.`__ferryline_change_log` (table_name, operation, old_row_json, new_row_json) VALUES ('b', 'delete', JSON_OBJECT('id', OLD.`id`), NULL)")),
     "trigger_teardown": rows('"database", n BIGINT, "last"', ("crm", 10, "DROP TRIGGER IF EXISTS `crm`.`__ferryline_update_c`"), ("shop", 13, "DROP TRIGGER IF EXISTS `shop`.`__ferryline_update_users`")),
+    "primary_key_parts": rows('"database", "table", "column", ordinal INTEGER', ("d", "t", "a", 9), ("d", "t", "b", 10)),
+    "fk_parts": rows('"constraint", ordinal INTEGER, "column", ref_table, ref_column, update_rule, delete_rule', ("f", 1, "a", "p", "id", "CASCADE", "SET NULL"), ("f", 2, "b", "p", "no", "CASCADE", "SET NULL")),
+    "settings_row": rows("Version, log_bin, nothing VARCHAR", ("8.4.3", "ON", None)),
     "representation_risk": rows('"table", approximate BIGINT, temporal BIGINT, "json" BIGINT, collated BIGINT', ("users", 0, 0, 1, 1), ("orders", 0, 2, 0, 0), ("Log", 1, 0, 0, 1), ("c", 0, 1, 0, 0)),
     "verify_noise_risk": rows('"table", approximate_numeric_columns BIGINT, temporal_columns BIGINT, json_columns BIGINT, collation_sensitive_columns BIGINT, notes INTEGER', ("users", 0, 1, 1, 1, 3), ("orders", 0, 2, 0, 0, 1), ("Log", 1, 0, 0, 1, 2), ("c", 0, 1, 0, 0, 1)),
     "timezone_mix": rows('"table", timestamps BIGINT, datetimes BIGINT', ("orders", 1, 1), ("c", 1, 0)),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferryline import cli
-from ferryline.operators import changelog, copying, digest, graph, ordering, prechecks, routing, triggerlog, verify
+from ferryline.operators import changelog, copying, digest, graph, objects, ordering, prechecks, routing, triggerlog, verify
 from ferryline.operators.catalog import Catalog
 from ferryline.plans import checks
 from ferryline.sources import connection, state
@@ -221,6 +221,36 @@ def test_trigger_log_refuses(spark):
     assert triggerlog.apply_log(log, {"t": empty}, {}, "fail", exclude=["T"])["t"].count() == 0
 
 
+def test_trigger_log_runs(spark):
+    schema = "cdc_id long, table_name string, operation string, old_row_json string, new_row_json string"
+    logs = {"a": spark.createDataFrame([(i, "t", "insert", None, f'{{"id":{i}}}') for i in range(1, 6)], schema), "b": spark.createDataFrame([], schema)}
+    written, saved, marks = {}, [], {"a": 1}
+
+    def purge(database, last):
+        raise OSError("no")
+
+    args = dict(write=lambda d, t, f: written.__setitem__((d, t), sorted(r.id for r in f.collect())), save=lambda c: saved.append(dict(c)), purge=purge, limit=3)
+    dest = {"a": {"t": spark.createDataFrame([(1,)], "id int"), "u": spark.createDataFrame([(9,)], "id int")}, "b": {}}
+    assert triggerlog.run(logs, dest, {"a": {"t": ["id"]}}, marks, "fail", **args) == {"a": 3, "b": 0}
+    assert written == {("a", "t"): [1, 2, 3, 4]} and saved == [{"a": 4}]
+
+
+def test_statements_are_applied_in_order(spark):
+    spark.createDataFrame([("d", 2, "CREATE VIEW ferryline_t.v AS SELECT 7 AS x"), ("d", 1, "CREATE DATABASE IF NOT EXISTS ferryline_t")], "database string, place int, statement string").createOrReplaceTempView("st")
+    assert objects.apply_statements(spark, spark.table("st")) == 2 and spark.table("ferryline_t.v").first()["x"] == 7
+    spark.sql("DROP DATABASE ferryline_t CASCADE")
+    with pytest.raises(ValueError):
+        objects.schema_statements(Catalog(spark), spark.createDataFrame([], "database string"), ("dream",))
+
+
+def test_pinned_reads(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.range(3).write.parquet(path)
+    held = copying.pinned(spark.read.parquet(path))
+    spark.range(5).write.mode("append").parquet(path)
+    assert held.count() == 3 and spark.read.parquet(path).count() == 8
+
+
 def test_catalogs(spark):
     c = Catalog(spark)
     assert c.tables.count() == 0 and c.setting("version") is None
@@ -267,6 +297,7 @@ def test_command_line(spark, tmp_path):
     assert run("verify")[0] == cli.OK and run("verify", "--data-mode", "hash")[0] == cli.DIFFERS  # the source folder is the state before the log
     assert json.loads(run("migrate-users")[1])["copied"] == 1
     assert run("report")[0] == cli.DIFFERS and run("report", "--fail-on-conflict", "false")[0] == cli.OK
-    for bad in (["nonsense"], ["replicate", "--start-from", "gtid"], ["replicate", "--start-pos", "1"], ["replicate", "--start-from", "binlog-file:pos", "--start-file", "b.1"], ["replicate", "--resume", "false", "--start-from", "binlog-file:pos", "--start-file", "../b"], ["replicate", "--idempotent"], ["verify", "--data-mode", "often"], ["--include-objects", "tables,dreams", "migrate"], ["migrate", "--schema-only", "--data-only"]):
+    assert run("replicate", "--replication-mode", "hybrid")[0] == cli.DIFFERS
+    for bad in (["nonsense"], ["replicate", "--start-from", "gtid"], ["replicate", "--start-pos", "1"], ["replicate", "--start-from", "binlog-file:pos", "--start-file", "b.1"], ["replicate", "--resume", "false", "--start-from", "binlog-file:pos", "--start-file", "../b"], ["replicate", "--idempotent"], ["replicate", "--replication-mode", "often"], ["verify", "--data-mode", "often"], ["--include-objects", "tables,dreams", "migrate"], ["migrate", "--schema-only", "--data-only"]):
         assert run(*bad)[0] == cli.USAGE, bad
     assert cli.main(["--dest", b, "--state-dir", st, "verify"], spark, io.StringIO()) == cli.USAGE
