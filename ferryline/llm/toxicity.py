@@ -6,7 +6,7 @@ texts only weighs what these can show, and no number of words or support bounds
 drawn from are a bounded sample (``max_examples``, the least hashes of each class, half of it for each class that has so many),
 so the index is bounded and broadcast; an example votes for as many labelled rows of its class as were left out for it.
 Examples are dealt to blocks; for each term and block the largest weight is kept.  The ``DENSE`` words with most postings
-are kept as a matrix and multiplied for many texts at once; for the others a query bounds each block by the sum of its
+are kept as a matrix (weights to single precision) and multiplied for many texts at once; for the others a query bounds each block by the sum of its
 weights times these maxima, on top of the largest sum that the matrix gave, opens blocks in falling order of the bound and
 stops once no block can hold a nearer example than the k-th.  Where the words left have few postings a block, all blocks are
 opened, as bounds would cost more than they save.  The score is the share of toxic neighbours, weighted by the squares of
@@ -38,6 +38,7 @@ from . import common
 WORD = re.compile(r"[^\W\d_]+").findall
 MAX_EXAMPLES, K, BLOCK, PRIOR = 8192, 24, 64, 1.0
 CALIBRATE, SHOWN = 768, 5  # examples of each class that calibration votes on; neighbours given as evidence
+SLACK = 1e-5  # more than single precision can be off
 DENSE, BATCH, WORTH = 512, 128, 4  # words kept as a matrix; texts multiplied at once; postings a block from which bounds pay
 
 
@@ -121,7 +122,7 @@ def build(examples, support=None, names: list[int] | None = None):
     frequent = np.argsort(-np.bincount(t, minlength=len(number)), kind="stable")[:DENSE]
     row = np.full(len(number), -1, np.int32)
     row[frequent] = np.arange(len(frequent))
-    dense, m = np.zeros((len(frequent), len(order))), row[t] >= 0
+    dense, m = np.zeros((len(frequent), len(order)), np.float32), row[t] >= 0
     dense[row[t[m]], e[m]] = v[m]
     t, e, v = t[~m], e[~m], v[~m]
     by = np.lexsort((e, t))
@@ -141,11 +142,14 @@ def build(examples, support=None, names: list[int] | None = None):
 def nearest(index, at: np.ndarray, q: np.ndarray, k: int = K, base: np.ndarray | None = None):
     """(similarities, labels, numbers) of the k nearest examples to the query of weights ``q`` at the terms ``at``, and blocks opened.
 
-    ``base`` is what the words kept as a matrix give for each example.
+    ``base`` is what the words kept as a matrix give for each example, to single precision: it finds the candidates, whose
+    similarities are then summed in double precision.
     """
     row = index["row"][at]
+    rows, weights = row[row >= 0], q[row >= 0]
     if base is None:
-        base = q[row >= 0] @ index["dense"][row[row >= 0]]
+        base = weights.astype(np.float32) @ index["dense"][rows]
+    exact = lambda ids: weights @ index["dense"][rows[:, None], ids].astype(np.float64)
     at, q, n, n_blocks = at[row < 0], q[row < 0], len(index["y"]), len(index["blocks"])
     if not n:
         return np.zeros(0), index["y"], np.zeros(0, np.int64), 0
@@ -153,14 +157,17 @@ def nearest(index, at: np.ndarray, q: np.ndarray, k: int = K, base: np.ndarray |
     several, held = index["at"][at + 1] - begin, index["post"][at + 1] - post
     if held.sum() < WORTH * several.sum():
         p = ranges(post, held)
-        s = base + np.bincount(index["of"][p], index["value"][p] * np.repeat(q, held), n)
+        rest = np.bincount(index["of"][p], index["value"][p] * np.repeat(q, held), n)
+        s = base + rest
         floor = np.partition(s, n - k)[n - k] if n > k else 0.0
-        ids = np.flatnonzero((s > 0) & (s >= floor))
-        ids = ids[np.lexsort((ids, -s[ids]))[:k]]
-        return s[ids], index["y"][ids], ids, n_blocks
+        ids = np.flatnonzero((s > 0) & (s >= floor - SLACK))
+        sims = exact(ids) + rest[ids]
+        top = np.lexsort((ids, -sims))[:k]
+        return sims[top], index["y"][ids[top]], ids[top], n_blocks
     entry, w = ranges(begin, several), np.repeat(q, several)
     block = index["block"][entry]
     bounds = np.bincount(block, w * index["maxima"][entry], n_blocks) + np.maximum.reduceat(base, np.arange(0, n, BLOCK))
+    bounds[bounds > 0] += SLACK
     order = np.argsort(-bounds, kind="stable")
     order = order[bounds[order] > 0]
     sims, ids, floor, opened, step = np.zeros(0), np.zeros(0, np.int64), 0.0, 0, 16
@@ -175,9 +182,10 @@ def nearest(index, at: np.ndarray, q: np.ndarray, k: int = K, base: np.ndarray |
         m = chosen[block]
         length = index["length"][entry[m]]
         p = ranges(index["first"][entry[m]], length)
-        s = base + np.bincount(index["of"][p], index["value"][p] * np.repeat(w[m], length), n)
-        new = np.flatnonzero(np.repeat(chosen, BLOCK)[:n] & (s > 0) & (s >= floor - 1e-9))
-        sims, ids = np.r_[sims, s[new]], np.r_[ids, new]
+        rest = np.bincount(index["of"][p], index["value"][p] * np.repeat(w[m], length), n)
+        s = base + rest
+        new = np.flatnonzero(np.repeat(chosen, BLOCK)[:n] & (s > 0) & (s >= floor - SLACK))
+        sims, ids = np.r_[sims, exact(new) + rest[new]], np.r_[ids, new]
         if len(sims) >= k:
             least = np.partition(sims, len(sims) - k)[len(sims) - k]
             sims, ids = sims[sims >= least], ids[sims >= least]
@@ -256,7 +264,7 @@ def judge_texts(index, texts: list[str | None], memo: dict) -> list[tuple[float,
     if len(memo) > 100_000:
         memo.clear()
     new = {k: query(index, t or "") for k, t in dict(zip(keys, texts)).items() if k not in memo}
-    x = np.zeros((len(new), len(index["dense"])))
+    x = np.zeros((len(new), len(index["dense"])), np.float32)
     for i, (at, q) in enumerate(new.values()):
         row = index["row"][at]
         x[i, row[row >= 0]] = q[row >= 0]
