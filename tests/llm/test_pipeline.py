@@ -254,3 +254,37 @@ def test_batches_are_cut_by_bytes():
     texts = ["x" * 10, None, "y" * 50, "z" * 3, "w" * 3]
     batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["i", "t"])
     assert [b.num_rows for b in common.portions(batch, 1, rows=3, size=20)] == [2, 1, 2] and packing.MEMO_ENTRIES > 0
+
+
+def test_recall_on_given_vectors(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    t = df.select("vec_id", "embedding").toArrow()
+    ids, x = t["vec_id"].to_numpy(), np.array(t["embedding"].to_pylist(), float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = asked = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = x @ x[i]
+        s[i] = -2
+        hit += len({int(ids[j]) for j in np.lexsort((ids, -s))[:5]} & got[int(ids[i])])
+        asked += 5
+    assert hit / asked >= 0.9
+
+
+def test_blocks_and_sections_do_not_matter_to_the_model(spark, monkeypatch):
+    from ferryline.llm import lm
+    from test_operators import brute_ctw
+
+    rows = [(i, " ".join(f"w{(i * j) % 5}" for j in range(6)), "en") for i in range(14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7, "doc_id")
+    one = {r.doc_id: r for r in lm.score(df.coalesce(1), F.col("doc_id") % 3 != 0).collect()}
+    monkeypatch.setattr(lm, "FAN", 2)
+    monkeypatch.setattr(lm, "SECTION_BYTES", 40)
+    many = {r.doc_id: r for r in lm.score(df, F.col("doc_id") % 3 != 0).collect()}
+    train = [lm.line(t) for d, t, _ in rows if d % 3]
+    for d, t, _ in rows[:4]:
+        assert abs(many[d].score - brute_ctw(train, lm.line(t))) < 1e-6
+    for d, r in one.items():
+        assert abs(r.score - many[d].score) < 1e-9 and abs(r.base_score - many[d].base_score) < 1e-12 and r[1:5] == many[d][1:5]
