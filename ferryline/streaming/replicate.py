@@ -83,9 +83,13 @@ def run(spark: SparkSession, log_dir: str, target: str, checkpoint: str, *, poli
     bucket = F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int")
 
     def apply(batch: DataFrame, number: int) -> None:
+        if number > manifest.read()["batch"]:
+            with store.owning(spark) as own:
+                advance(batch, number)
+                own.drop()
+
+    def advance(batch: DataFrame, number: int) -> None:
         done = manifest.read()
-        if number <= done["batch"]:
-            return
         batch = store.cut(batch.withColumn("bucket", bucket))
         span = batch.agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.collect_set("bucket").alias("touched")).first()  # at most ``buckets`` numbers
         if span["low"] is None:
