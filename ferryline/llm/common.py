@@ -1,21 +1,12 @@
-"""What several text operators share: shipping code, blocks of documents, word splitting.
-
-A *block* is a set of documents that one task handles together.  Documents are dealt to blocks by a hash of their
-identifier and text, so a hot source, language or identifier does not gather in one block, and the number of blocks
-follows the bytes of text: a block holds about ``BLOCK_BYTES`` at every input size.
-"""
+"""What several text operators share: shipping code to executors, cutting batches by bytes, hashing, folds, memos."""
 
 from __future__ import annotations
 
 import gc
 import os
-import re
 import tempfile
 import uuid
 import zipfile
-from contextlib import contextmanager
-from contextvars import ContextVar
-from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -24,7 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 16 << 20
+from ..operators.tables import broadcast, cut, drop, owned, owning, release, shared_folder  # noqa: F401  used by the operators
+
 _SHIPPED: set[str] = set()
 
 
@@ -42,140 +34,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines see, ``spark.checkpoint.dir``; set here only where the session has none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        existing = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not existing.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is unset: name a folder that all machines see")
-        folder = existing.get() if existing.isDefined() else "file:///tmp/checkpoints/ferryline"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-class Tables:
-    """Folders that ``cut`` wrote for one call.  The frame that the call returns carries them; nobody else deletes them."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths, self.shared = spark, [], []
-
-    def forget(self) -> None:
-        """Destroy the broadcasts of this owner, on all machines."""
-        for b in self.shared:
-            b.destroy()
-        self.shared = []
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Delete the tables of this owner that ``frames`` read; without frames, all."""
-        read = "\n".join(f for t in frames for f in t.inputFiles())
-        gone = [p for p in self.paths if not frames or p.rpartition("/")[2] in read]
-        self.paths = [p for p in self.paths if p not in gone]
-        jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        for p in gone:
-            path = jvm.Path(p)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def drop_since(self, before: list[str]) -> None:
-        """Delete what was written after the paths were ``before``."""
-        kept, self.paths = before, [p for p in self.paths if p not in before]
-        self.drop()
-        self.paths = kept
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """``df`` written as this owner's only table: what it was made from is deleted, the frame returned owns the rest."""
-        before = self.paths
-        self.paths = []
-        out = cut(df)
-        kept, self.paths = self.paths, before
-        self.drop()
-        self.forget()
-        self.paths = kept
-        out.tables = self
-        return out
-
-
-_OWNER: ContextVar[Tables | None] = ContextVar("owner", default=None)
-
-
-@contextmanager
-def owning(spark: SparkSession):
-    """What ``cut`` writes inside belongs to the owner given; an operator called inside shares it."""
-    outer = _OWNER.get()
-    own = Tables(spark) if outer is None else outer
-    token = _OWNER.set(own)
-    try:
-        with tidy_shuffles(spark):
-            yield own
-    except BaseException:
-        if outer is None:
-            own.drop()
-        raise
-    finally:
-        _OWNER.reset(token)
-
-
-def owned(operator):
-    """For functions of a frame that return one: the tables written on the way belong to the frame returned (``release``)."""
-
-    @wraps(operator)
-    def call(df: DataFrame, *args, **kwargs):
-        with owning(df.sparkSession) as own:
-            out = operator(df, *args, **kwargs)
-        if isinstance(out, DataFrame):
-            out.tables = own
-        return out
-
-    return call
-
-
-def drop(*frames: DataFrame) -> None:
-    """Delete tables that the running call wrote and needs no more."""
-    if own := _OWNER.get():
-        own.drop(*frames)
-
-
-def broadcast(spark: SparkSession, value):
-    """A broadcast that goes with the tables of the running call."""
-    shared = spark.sparkContext.broadcast(value)
-    if own := _OWNER.get():
-        own.shared.append(shared)
-    return shared
-
-
-def release(df: DataFrame) -> None:
-    """Delete the tables and broadcasts that ``df`` owns, once it and what was made from it are not read any more."""
-    if tables := df.__dict__.get("tables"):
-        tables.drop()
-        tables.forget()
-
-
-@contextmanager
-def tidy_shuffles(spark: SparkSession):
-    """Shuffle files of a query that ends inside go with it, not when the driver happens to collect them."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        if was is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, was)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: lineage ends there, executors may go."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/ferryline/{uuid.uuid4().hex}"
-    if own := _OWNER.get():
-        own.paths.append(path)
-    with tidy_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def portions(batch: pa.RecordBatch, text: int, rows: int = 4096, size: int = 16 << 20):
     """Slices of at most ``rows`` rows and about ``size`` bytes in the column ``text``; a longer text is a slice of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
@@ -187,17 +45,6 @@ def portions(batch: pa.RecordBatch, text: int, rows: int = 4096, size: int = 16
         start = stop
 
 
-def number_of_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
-    total = docs.agg(F.sum(F.octet_length(F.col(text)) + F.lit(64)).alias("b")).first()["b"] or 0
-    return max(1, -(-int(total) // block_bytes))
-
-
-def in_blocks(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text", extra: list | None = None) -> DataFrame:
-    """(block, doc_id, text, extra...): one shuffle partition for each of ``n`` blocks."""
-    block = F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(n)).cast("int")
-    return docs.select(block.alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(extra or [])).repartition(n, "block")
-
-
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
