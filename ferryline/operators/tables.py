@@ -55,18 +55,6 @@ class Tables:
         self.drop()
         self.paths = kept
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """``df`` written as this owner's only table: what it was made from is deleted, the frame returned owns the rest."""
-        before = self.paths
-        self.paths = []
-        out = cut(df)
-        kept, self.paths = self.paths, before
-        self.drop()
-        self.forget()
-        self.paths = kept
-        out.tables = self
-        return out
-
 
 _OWNER: ContextVar[Tables | None] = ContextVar("owner", default=None)
 
