@@ -19,10 +19,11 @@ are read whole; repeated rows are scored each; null identifiers learn and score
 from __future__ import annotations
 
 import pickle
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,30 +110,34 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def counted(lines: list[bytes], learn: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct keys in order, how often each occurs in lines to learn from)."""
-    keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    """(distinct keys in order, how often each occurs in lines to learn from).
+
+    A key and a count below 128 are one number to be sorted; a larger count is several such numbers.
+    """
+    parts = [np.empty(0, np.int64)]
     for a, b in runs(lines):
         key, starts = positions(lines[a:b])
         k = key << 1
         k |= np.repeat(np.array(learn[a:b], np.int64), np.diff(np.r_[starts, len(key)]))
         k.sort()
         at = np.flatnonzero(np.r_[True, k[1:] >> 1 != k[:-1] >> 1])
-        keys.append(k[at] >> 1)
-        counts.append(np.add.reduceat(k & 1, at))
-    return summed(np.concatenate(keys), np.concatenate(counts))
+        n, k = np.add.reduceat(k & 1, at), k[at] >> 1 << 7
+        while (large := n > 127).any():
+            parts.append(k[large] | 127)
+            n[large] -= 127
+        parts.append(k | n)
+    k = np.concatenate(parts)
+    if not len(k):
+        return k, k
+    k.sort()
+    at = np.flatnonzero(np.r_[True, k[1:] >> 7 != k[:-1] >> 7])
+    return k[at] >> 7, np.add.reduceat(k & 127, at)
 
 
 def section_of(roots: np.ndarray, sections: int) -> np.ndarray:
     return (common.mix64(roots.astype(np.uint64) + np.uint64(1)) % np.uint64(sections)).astype(np.int64)
 
 
-def tokens(lines: list[bytes]) -> tuple[pa.Array, np.ndarray]:
-    """(words of all lines, without their ends; where each line's words start)."""
-    split = [x[:-1].split() for x in lines]
-    sizes = np.array([len(x) for x in split], np.int64)
-    return pa.array([w for x in split for w in x], pa.large_binary()), np.r_[0, np.cumsum(sizes)]
-
-
 def packed_blocks(rows: DataFrame, sections: int) -> DataFrame:
     """(kind, PACKED): texts of a block (0), its keys (1) and words (2) by section with training counts, its training texts (3)."""
     names = ["kind", *(c.split()[0] for c in PACKED.split(", "))]
@@ -147,20 +152,20 @@ def packed_blocks(rows: DataFrame, sections: int) -> DataFrame:
         keys, n, at = keys[o], n[o], at[o]
         for a, b in _spans(at):
             out.append((1, int(at[a]), block, pack(keys[a:b], True), pack(n[a:b])))
-        held: dict[bytes, int] = {}
-        for start, stop in runs(lines):
-            for flag in (False, True):
-                some = [x for x, f in zip(lines[start:stop], learn[start:stop]) if f == flag]
-                counts = tokens(some)[0].value_counts()
-                for w, c in zip(counts.field(0).to_pylist(), counts.field(1).to_pylist()):
-                    held[w] = held.get(w, 0) + (c if flag else 0)
-        words = list(held)
+        held: Counter[bytes] = Counter()
+        for x, flag in zip(lines, learn):
+            if flag:
+                held.update(x[:-1].split())
+        for x, flag in zip(lines, learn):
+            if not flag:
+                for w in x[:-1].split():
+                    held.setdefault(w, 0)
+        words, n = list(held), np.fromiter(held.values(), np.int64, len(held))
         at = np.array([hash_of(w) % sections for w in words], np.int64)
         o = np.argsort(at, kind="stable")
         at = at[o]
         for a, b in _spans(at):
-            some = [words[i] for i in o[a:b].tolist()]
-            out.append((2, int(at[a]), block, pack_words(some), pack(np.array([held[w] for w in some], np.int64))))
+            out.append((2, int(at[a]), block, pack_words([words[i] for i in o[a:b].tolist()]), pack(n[o[a:b]])))
         for start in range(0, len(out), 256):
             cols = list(zip(*out[start : start + 256]))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array([0] * len(cols[0]), pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], names=names)
@@ -426,7 +431,7 @@ def score(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "te
         cost = prices(depths(keys, counts), *(of(2, c).to_numpy() for c in ("ctx", "node", "p", "left", "near")))
         out = []
         for block, a in zip(of(0, "block").to_pylist(), of(0, "a").to_pylist()):
-            out.append((block, 1, a, pack(cost[np.searchsorted(keys, unpack(a, np.int64, True))])))
+            out.append((block, 1, a, pack(cost[np.searchsorted(keys, unpack(a, np.int64, True))].astype(np.float32))))  # to 7 digits
         return _table(out, answer)
 
     priced = asked.unionByName(model).unionByName(upper).groupBy("section", "g").applyInArrow(price, answer)
@@ -450,11 +455,11 @@ def score(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "te
         kind, a, b = table["kind"].to_numpy(), table["a"].to_pylist(), table["b"].to_pylist()
         at = lambda k: np.flatnonzero(kind == k).tolist()
         keys = np.concatenate([np.empty(0, np.int64), *(unpack(a[i], np.int64, True) for i in at(1))])
-        cost = np.concatenate([np.empty(0), *(unpack(b[i], np.float64) for i in at(1))])
-        o = np.argsort(keys, kind="stable")
-        keys, cost = keys[o], cost[o]
-        held = pa.array([w for i in at(2) for w in unpack_words(a[i])], pa.large_binary())
-        count = np.concatenate([np.empty(0, np.int64), *(unpack(b[i], np.int64) for i in at(2))])
+        cost = np.concatenate([np.empty(0), *(unpack(b[i], np.float32) for i in at(1))])
+        o = np.argsort(keys)
+        keys, cost, count = keys[o], cost[o], {}
+        for i in at(2):
+            count.update(zip(unpack_words(a[i]), unpack(b[i], np.int64).tolist()))
         out = []
         for i in at(0):
             ids, learn, lines = pickle.loads(zstandard.ZstdDecompressor().decompress(a[i]))
@@ -462,9 +467,9 @@ def score(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "te
                 key, starts = positions(lines[lo:hi])
                 u, inverse = np.unique(key, return_inverse=True)
                 total = np.add.reduceat(cost[np.searchsorted(keys, u)][inverse], starts)
-                found, cuts = tokens(lines[lo:hi])
-                coded = found.dictionary_encode()
-                c = np.r_[count, 0][pc.index_in(coded.dictionary, held).to_numpy()][coded.indices.to_numpy()] if len(found) else np.empty(0, np.int64)
+                words = [x[:-1].split() for x in lines[lo:hi]]
+                cuts = np.r_[0, np.cumsum([len(w) for w in words])]
+                c = np.fromiter(map(count.__getitem__, chain.from_iterable(words)), np.int64, cuts[-1])
                 seen, n = np.r_[0, np.cumsum(c > 0)], np.diff(cuts)
                 each = base(c)
                 exact = [float(each[x:y].sum()) for x, y in zip(cuts[:-1], cuts[1:])]
