@@ -5,7 +5,7 @@ node of a decision under a context of d = 0..``DEPTH`` preceding bytes has count
 Krichevsky-Trofimov estimate is mixed at every depth: weight 1/2 for a node's own estimate, 1/2 for the product of its
 extensions', which makes each depth's posterior weight the ratio of these.
 
-Texts stay in blocks of about 16 MB.  A block sends its distinct (context, byte) keys with their training counts, packed, to
+Texts stay in blocks of about 8 MB.  A block sends its distinct (context, byte) keys with their training counts, packed, to
 sections, which are dealt by a hash of the last ``ROOT`` bytes of context, so all longer contexts of one tree lie in one section.
 Sections merge what their blocks send, at most ``FAN`` at a time, and work out the tree from depth ``DEPTH`` up to ``ROOT`` with
 arrays; from there to the root nodes are rows that Spark sums up.  Down again, a section gets the mixture of depths below ``ROOT``
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common
 
 DEPTH, ROOT, END = 6, 3, 0xFF
-BLOCK_BYTES, RUN_BYTES, SECTION_BYTES, MAX_SECTIONS, FAN = 16 << 20, 2 << 20, 8 << 20, 4096, 64
+BLOCK_BYTES, RUN_BYTES, SECTION_BYTES, MAX_SECTIONS, FAN = 8 << 20, 1 << 20, 8 << 20, 4096, 64
 PACKED = "section int, g int, block long, a binary, b binary"
 
 
@@ -144,7 +144,7 @@ def packed_blocks(rows: DataFrame, sections: int) -> DataFrame:
 
     def emit(part):
         block, learn = part[0][0], [r[2] for r in part]
-        lines = [line(t) for _, _, _, t in part]
+        lines = [x for _, _, _, x in part]
         out = [(0, -1, block, squeezed(pickle.dumps(([r[1] for r in part], learn, lines))), b""), (3, -1, block, int(sum(learn)).to_bytes(8, "little"), b"")]
         keys, n = counted(lines, learn)
         at = section_of(keys >> (8 * (DEPTH - ROOT + 1)), sections)
@@ -174,9 +174,9 @@ def packed_blocks(rows: DataFrame, sections: int) -> DataFrame:
         held, n = [], 0
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
-                for r in zip(*(c.to_pylist() for c in whole.slice(start, 256).columns)):
-                    held.append(r)
-                    n += len(r[3] or "")
+                for row, doc, learn, text in zip(*(c.to_pylist() for c in whole.slice(start, 256).columns)):
+                    held.append((row, doc, learn, line(text)))
+                    n += len(held[-1][3])
                     if n >= BLOCK_BYTES:
                         yield from emit(held)
                         held, n = [], 0
