@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DEPTH, ROOT, END = 6, 3, 0xFF
+DEPTH, ROOT, END = 5, 3, 0xFF
 BLOCK_BYTES, RUN_BYTES, SECTION_BYTES, MAX_SECTIONS, FAN = 8 << 20, 1 << 20, 8 << 20, 4096, 64
 PACKED = "section int, g int, block long, a binary, b binary"
 
