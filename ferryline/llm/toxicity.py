@@ -36,10 +36,17 @@ from pyspark.sql import functions as F
 from . import common
 
 WORD = re.compile(r"[^\W\d_]+").findall
+LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
 MAX_EXAMPLES, K, BLOCK, PRIOR = 8192, 24, 64, 1.0
 CALIBRATE, SHOWN = 768, 5  # examples of each class that calibration votes on; neighbours given as evidence
 SLACK = 1e-5  # more than single precision can be off
 DENSE, BATCH, WORTH = 512, 128, 4  # words kept as a matrix; texts multiplied at once; postings a block from which bounds pay
+MAX_BITS = 1 << 26  # of the set of labelled identifiers that texts are held against before they are shuffled
+
+
+def words(text: str) -> list[str]:
+    """Runs of letters of the lower-cased text; of ASCII alone they are found without the pattern."""
+    return text.encode().translate(LETTERS).decode().split() if text.isascii() else WORD(text.lower())
 
 
 class Block:
@@ -89,7 +96,7 @@ def build(examples, support=None, names: list[int] | None = None):
     terms, of, tf, classes = array("i"), array("i"), array("i"), array("b")
     for i, (text, label) in enumerate(examples):  # taken one by one: texts need not all be there at once
         classes.append(label)
-        for w, c in Counter(WORD(text.lower())).items():
+        for w, c in Counter(words(text)).items():
             terms.append(number.setdefault(w, len(number)))
             of.append(i)
             tf.append(c)
@@ -184,7 +191,11 @@ def nearest(index, at: np.ndarray, q: np.ndarray, k: int = K, base: np.ndarray |
         p = ranges(index["first"][entry[m]], length)
         rest = np.bincount(index["of"][p], index["value"][p] * np.repeat(w[m], length), n)
         s = base + rest
-        new = np.flatnonzero(np.repeat(chosen, BLOCK)[:n] & (s > 0) & (s >= floor - SLACK))
+        here = np.repeat(chosen, BLOCK)[:n] & (s > 0) & (s >= floor - SLACK)
+        near = s[here]
+        if len(near) > k:  # what is not among the k nearest of these blocks needs no second sum
+            here &= s >= np.partition(near, len(near) - k)[len(near) - k] - 2 * SLACK
+        new = np.flatnonzero(here)
         sims, ids = np.r_[sims, exact(new) + rest[new]], np.r_[ids, new]
         if len(sims) >= k:
             least = np.partition(sims, len(sims) - k)[len(sims) - k]
@@ -205,7 +216,7 @@ def neighbours(index, q: np.ndarray, k: int = K):
 def query(index, text: str):
     """The terms of a text and their weights, of length 1."""
     number = index["number"]
-    bag = Counter(map(number.get, WORD(text.lower())))
+    bag = Counter(map(number.get, words(text)))
     bag.pop(None, None)
     at = np.fromiter(bag, np.int64, len(bag))
     q = (1 + np.log(np.fromiter(bag.values(), float, len(bag)))) * index["weight"][at]
@@ -285,14 +296,14 @@ def count_words(texts: DataFrame, number: dict[str, int]) -> np.ndarray:
     shared = spark.sparkContext.broadcast(number)
 
     def run(batches):
-        words = shared.value
-        held = np.zeros((len(words) + 1, 3), np.int64)
+        known = shared.value
+        held = np.zeros((len(known) + 1, 3), np.int64)
         for batch in batches:
             for kind, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                bag = {words[w] for w in set(WORD((text.as_py() or "").lower())) if w in words}
-                held[np.fromiter(bag, np.int64, len(bag)), kind] += 1
+                bag = [known[w] for w in set(words(text.as_py() or "")) if w in known]
+                held[bag, kind] += 1
                 held[-1, kind] += 1
-        for at in np.array_split(np.flatnonzero(held.any(1)), 1 + len(words) // 65536):
+        for at in np.array_split(np.flatnonzero(held.any(1)), 1 + len(known) // 65536):
             yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(held[at, c]) for c in range(3))], names=["term", "n0", "n1", "n2"])
 
     summed = texts.mapInArrow(run, "term long, n0 long, n1 long, n2 long").groupBy("term").agg(F.sum("n0"), F.sum("n1"), F.sum("n2")).toArrow()
@@ -312,10 +323,27 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLE
     return index
 
 
+def likely(texts: DataFrame, ids: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``texts`` whose ``id`` may be among ``ids``: all that are, and few others.
+
+    What is broadcast is a set of bits, 16 to 32 for an identifier and at most ``max_bits`` (8 MB): beyond that more others pass.
+    """
+    n, spark = ids.count(), texts.sparkSession
+    bits = min(max(64, 1 << (16 * n).bit_length()), max_bits)
+    place = F.pmod(F.xxhash64("id"), F.lit(bits).cast("long"))
+    word, bit = F.shiftright(place, 6).cast("int"), place.bitwiseAND(F.lit(63)).cast("int")
+    one = F.expr("shiftleft(1L, bit)")
+    found = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(one).alias("held")).toArrow()
+    held = np.zeros(bits // 64, np.int64)
+    held[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    row = spark.createDataFrame(pa.table({"held": pa.array([held], pa.list_(pa.int64()))}))
+    return texts.withColumns({"word": word, "bit": bit}).join(F.broadcast(row), F.expr("shiftrightunsigned(get(held, word), bit) & 1 = 1"), "left_semi").drop("word", "bit")
+
+
 def _learn(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: str, text_col: str, label_col: str):
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    one = texts.join(marked.select("id"), "id", "left_semi").groupBy("id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    one = likely(texts, marked.select("id")).join(marked.select("id"), "id", "left_semi").groupBy("id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
     labelled = common.cut(one.join(marked, "id"))
     there = {r.y: r["count"] for r in labelled.groupBy("y").count().collect()}
     half = max_examples // 2
@@ -324,19 +352,23 @@ def _learn(docs: DataFrame, labels: DataFrame, max_examples: int, id_col: str, t
     # at most max_examples rows of two numbers; repeated labels are counted, not joined twice
     chosen = F.broadcast(common.cut(drawn[0].unionByName(drawn[1]).groupBy("id", "y").agg(F.count("*").cast("int").alias("times"))))
     kinds = labelled.select(F.col("y").alias("kind"), "text").unionByName(texts.select(F.lit(2).alias("kind"), "text"))
-    rows = labelled.dropDuplicates(["id", "y"]).join(chosen, ["id", "y"]).select("id", "y", "times", "text").orderBy("id", "y").toArrow()
+    # only texts that are drawn are shuffled
+    rows = labelled.join(chosen, ["id", "y"]).dropDuplicates(["id", "y"]).select("id", "y", "times", "text").toArrow()
     ids, ys, times = (rows.column(i).to_numpy() for i in range(3))
-    held = [rows.column(3)]  # texts stay packed, and go once they are read
+    order = np.lexsort((ys, ids))
+    ids, ys, times = ids[order], ys[order], times[order]
+    held = [rows.column(3)]  # texts stay packed and in the order they came, and go once they are read
     kept = {}
     for y in (0, 1):
         own = np.flatnonzero(ys == y)
-        kept.update(((int(ids[i]), y), held[0][int(i)].as_py()) for i in own[np.linspace(0, len(own) - 1, min(len(own), CALIBRATE)).astype(int)])
+        kept.update(((int(ids[i]), y), held[0][int(order[i])].as_py()) for i in own[np.linspace(0, len(own) - 1, min(len(own), CALIBRATE)).astype(int)])
     names = np.repeat(ids, times).tolist()
     del rows
 
     def each():
-        for text, y, n in zip(held.pop(), ys.tolist(), times.tolist()):
-            text = text.as_py()
+        texts = held.pop()
+        for i, y, n in zip(order.tolist(), ys.tolist(), times.tolist()):
+            text = texts[i].as_py()
             for _ in range(n):
                 yield text, y
 

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import string
 import re
 from collections import Counter
 
@@ -306,3 +307,40 @@ def test_endpoints_of_any_form_and_gaps_between_ends(spark):
         assert sorted(map(tuple, got[i].extra)) == [(0, 5, len(f)), (len(f) + 1, 3, len(f) + 15)], f
     assert [s.kind for s in got[20].extra] == [3] and sorted(s.kind for s in got[21].extra) == [3, 3, 5]
     assert not got[22].extra and not got[23].extra
+
+
+def shuffled(spark):
+    """Bytes that the stages known so far have shuffled."""
+    gateway, sc = spark.sparkContext._gateway, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    nothing = gateway.jvm.java.util.ArrayList()
+    stages = sc.statusStore().stageList(nothing, False, False, gateway.new_array(gateway.jvm.double, 0), nothing)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_learning_shuffles_labelled_texts_only(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, "".join(rng.choices(string.ascii_letters, k=2000))) for i in range(4000)], "doc_id long, text string").repartition(4).localCheckpoint()
+    labels = spark.createDataFrame([(i, i // 10 % 2) for i in range(0, 1000, 10)] + [(1, None)], "doc_id long, toxic int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        index = toxicity.learn(docs, labels, max_examples=20)
+        moved = sum(n for k, n in shuffled(spark).items() if k not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(index["y"]) == 20 and moved < 1e6  # of 8 MB of texts 0.2 are labelled
+
+
+def test_every_labelled_row_passes_the_set_of_bits(spark):
+    texts = spark.createDataFrame([(i, "t") for i in range(-500, 3000)] + [(None, "t")], "id long, text string")
+    ids = texts.filter("id % 7 = 0").select("id").union(texts.filter("id = 14").select("id"))
+    for most, others in ((1 << 26, 300), (64, 4000)):
+        got = [r.id for r in toxicity.likely(texts, ids, most).collect()]
+        assert set(range(-497, 3000, 7)) <= set(got) and len(got) == len(set(got)) and len(got) < 500 + others
+    assert toxicity.likely(texts, ids.limit(0)).count() == 0
+
+
+def test_words_without_the_pattern():
+    for text in ("", " ", "aB1_c\x00d\x1fE\x7f", "A-b\nC\td'e", "x\x1cy\x0bz", "Straße Ünï 1a", "İI"):
+        assert toxicity.words(text) == toxicity.WORD(text.lower())
