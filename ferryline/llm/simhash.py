@@ -25,6 +25,7 @@ from .components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, width); three, as 4 bits over three segments leave one with at most 1
 CHUNK = 8192
+NODES = 16384  # fingerprints a task indexes: each makes 64 rows, which a task holds until they are shuffled
 
 
 def fingerprint(text: str | None, words_in_shingle: int = 4) -> int:
@@ -153,7 +154,7 @@ def links(nodes: DataFrame, *, max_bits: int = 4, chunk: int = CHUNK) -> DataFra
     if not 0 <= max_bits <= 4:
         raise ValueError("three segments with one blank find at most 4 differing bits")
     common.ship(nodes.sparkSession)
-    index = variants(nodes)
+    index = variants(nodes.repartition(1 + nodes.count() // NODES, "fp"))
     crowded = index.groupBy("key").count().filter(F.col("count") > chunk).select("key", F.expr(f"cast((count + {chunk - 1}) div {chunk} as int)").alias("m"))
     met = index.join(crowded, "key", "left").select("key", "fp", F.coalesce("m", F.lit(1)).alias("m"))
     c = F.pmod(F.xxhash64("fp"), F.col("m"))

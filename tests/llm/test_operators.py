@@ -310,12 +310,12 @@ def test_endpoints_of_any_form_and_gaps_between_ends(spark):
 
 
 def shuffled(spark):
-    """Bytes that the stages known so far have shuffled."""
+    """Bytes and rows that the stages known so far have shuffled, and their tasks."""
     gateway, sc = spark.sparkContext._gateway, spark.sparkContext._jsc.sc()
     sc.listenerBus().waitUntilEmpty(30_000)
     nothing = gateway.jvm.java.util.ArrayList()
     stages = sc.statusStore().stageList(nothing, False, False, gateway.new_array(gateway.jvm.double, 0), nothing)
-    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+    return {(s.stageId(), s.attemptId()): (s.shuffleWriteBytes(), s.shuffleWriteRecords(), s.numTasks()) for s in (stages.apply(i) for i in range(stages.size()))}
 
 
 def test_learning_shuffles_labelled_texts_only(spark):
@@ -326,7 +326,7 @@ def test_learning_shuffles_labelled_texts_only(spark):
     try:
         before = shuffled(spark)
         index = toxicity.learn(docs, labels, max_examples=20)
-        moved = sum(n for k, n in shuffled(spark).items() if k not in before)
+        moved = sum(n[0] for k, n in shuffled(spark).items() if k not in before)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(index["y"]) == 20 and moved < 1e6  # of 8 MB of texts 0.2 are labelled
@@ -344,3 +344,11 @@ def test_every_labelled_row_passes_the_set_of_bits(spark):
 def test_words_without_the_pattern():
     for text in ("", " ", "aB1_c\x00d\x1fE\x7f", "A-b\nC\td'e", "x\x1cy\x0bz", "Straße Ünï 1a", "İI"):
         assert toxicity.words(text) == toxicity.WORD(text.lower())
+
+
+def test_a_task_indexes_a_bounded_number_of_fingerprints(spark):
+    nodes = spark.range(40000).coalesce(1).select(F.xxhash64("id").alias("fp"))
+    before = shuffled(spark)
+    assert simhash.links(nodes).filter("a = b").count() == 0
+    made = [n for k, n in shuffled(spark).items() if k not in before and n[1] >= 64 * 40000]
+    assert made and all(rows / tasks < 64 * 16384 for _, rows, tasks in made)
